@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe_codec, token_counts
+from skein.llm import bpe_codec, media, packing, token_counts
 
 QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
+    "op7_packing": packing.op7_packing,
     "op9_bpe_codec": bpe_codec.op9_bpe_codec,
+    "op10_media": media.op10_media,
 }
 
 ORACLE: dict[str, str] = {}
