@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe_codec, media, near_dedup, packing, substring_dedup, token_counts
+from skein.llm import bpe_codec, media, near_dedup, packing, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_quality": quality.op6_quality,
     "op7_packing": packing.op7_packing,
     "op9_bpe_codec": bpe_codec.op9_bpe_codec,
     "op10_media": media.op10_media,
