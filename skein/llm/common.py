@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT_TABLE = "documents"
@@ -50,6 +50,12 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def held(column: Column) -> Column:
+    """The column, worked out once for each row. As it is, an expression that a lambda of a later
+    projection reads is moved into the lambda and worked out for each element."""
+    return F.explode(F.array(column))
+
+
 def batches_of(columns: dict[str, Iterable[Any]], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(k).type) for k, x in columns.items()], schema=schema)
 

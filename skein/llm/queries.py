@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe_codec, media, near_dedup, packing, quality, substring_dedup, token_counts
+from skein.llm import bpe_codec, chat_format, license_scan, media, near_dedup, packing, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_quality": quality.op6_quality,
     "op7_packing": packing.op7_packing,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op9_bpe_codec": bpe_codec.op9_bpe_codec,
     "op10_media": media.op10_media,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_license_scan": license_scan.ORACLE,
+    "op8_chat_format": chat_format.ORACLE,
+}
