@@ -1,0 +1 @@
+"""Scalar functions of traversal steps, as functions of columns."""
