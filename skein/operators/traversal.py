@@ -518,7 +518,7 @@ class Traversal:
         for k in keys or self._property_names():
             if k in own.df.columns:
                 v = F.col(k) if _is_array(own, k) else F.array(k)
-                pairs.append(F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("key"), x.cast("string").alias("value"))))
+                pairs.append(F.transform(v, _pair_with(k)))
         df = own.df.select(*own.travelling, F.col("id").alias("owner"), F.explode(F.concat(*pairs)).alias("~p")) if pairs else own.df.select(F.col("id").alias("owner")).limit(0)
         return own._on(df.select(*own.travelling, "owner", "~p.key", "~p.value").where("value is not null"), "property", loaded=True)
 
@@ -779,6 +779,10 @@ def _is_array(t: Traversal, name: str) -> bool:
     return dict(t.df.dtypes).get(name, "").startswith("array")
 
 
+def _pair_with(key: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(key).alias("key"), x.cast("string").alias("value"))
+
+
 def _sorted(c: Column, desc: bool) -> Column:
     return c.desc() if desc else c.asc()
 
