@@ -537,7 +537,7 @@ class Traversal:
         own = self.load()
         names = [k for k in (keys or self._property_names()) if k in own.df.columns]
         head = ["id", "label", *(["src", "dst"] if self.kind == "edge" else [])]
-        return own._on(own.df.select(*own.travelling, *head, *(F.element_at(k, 1).alias(k) if _is_array(own, k) else F.col(k) for k in names)), "map", loaded=True)
+        return own._on(own.df.select(*own.travelling, *head, *(F.get(k, 0).alias(k) if _is_array(own, k) else F.col(k) for k in names)), "map", loaded=True)
 
     def project(self, *names: str, by: list[Any]) -> Traversal:
         """A map with a column for each name: a property, a token, an expression or an inner traversal."""

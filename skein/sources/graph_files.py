@@ -19,7 +19,7 @@ def read_graphml(spark: SparkSession, path: str, vertex_label: str = "labelV", e
     data = "data array<struct<_key: string, _VALUE: string>>"
     keys = read("key", "_id string, _for string, `_attr.name` string, `_attr.type` string").collect()
     kinds = {r["_id"]: (r["_attr.name"], NUMBERS.get(r["_attr.type"], "string")) for r in keys}
-    pick = lambda k: F.element_at(F.transform(F.filter("data", lambda d: d["_key"] == k), lambda d: d["_VALUE"]), 1)
+    pick = lambda k: F.get(F.transform(F.filter("data", lambda d: d["_key"] == k), lambda d: d["_VALUE"]), 0)
 
     def frames(f: DataFrame, label: str, default: str, kind: str) -> dict[str, DataFrame]:
         own = [(r["_id"], *kinds[r["_id"]]) for r in keys if r["_for"] in (kind, "all") and r["_id"] != label]
