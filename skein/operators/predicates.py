@@ -1,4 +1,4 @@
-"""Predicates over columns. A null never satisfies one."""
+"""Predicates over columns. A null never satisfies one, nor its negation."""
 
 from __future__ import annotations
 
@@ -16,7 +16,8 @@ class P:
     test: Callable[[Column], Column]
 
     def __call__(self, c: Column) -> Column:
-        return F.coalesce(self.test(c), F.lit(False))
+        """Null for a null, which a filter takes as false: so it can be pushed into a scan."""
+        return self.test(c)
 
     def __and__(self, other: P) -> P:
         return P(lambda c: self(c) & other(c))
