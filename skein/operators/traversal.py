@@ -771,8 +771,9 @@ class Traversal:
         ends = union_all([f.select(F.col(c).alias("id")) for f in edges.values() for c in ("src", "dst")]).distinct()
         return replace(g, vertices={k: f.join(ends, "id", "left_semi") for k, f in g.vertices.items()}, edges=edges)
 
-    def explain(self) -> str:
-        return self.df._sc._jvm.PythonSQLUtils.explainString(self.df._jdf.queryExecution(), "formatted")
+    def explain(self) -> None:
+        """Prints Spark's plan."""
+        self.df.explain("formatted")
 
 
 def _is_array(t: Traversal, name: str) -> bool:

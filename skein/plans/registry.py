@@ -551,3 +551,67 @@ def list_cardinality(g):
 def adjacency(g):
     lists_ = gremlin_csv.adjacency(g.edge_frame(["placed"]))
     return lists_.select("id", F.array_join(F.transform(F.element_at("neighbours", "placed"), lambda x: x["dst"].cast("string")), ",").alias("orders"))
+
+
+# --- further combinations ---
+
+
+@query(
+    "SELECT p_name AS name, array_to_string(list_sort(list_intersect(a, b)), ',') AS common, len(list_distinct(a)) - len(list_intersect(a, b)) AS only_a, len(a) + len(b) AS combined, len(a) * len(b) AS pairs FROM (SELECT p_name, string_split(p_type, ' ') AS a, string_split(p_name || ' ' || p_type, ' ')[1:4] AS b FROM part)"
+)
+def fn_list_sets(g):
+    a, b = strings.split(F.col("p_type"), " "), F.slice(strings.split(strings.concat(F.col("p_name"), " ", F.col("p_type")), " "), 1, 4)
+    text = lambda c: lists.conjoin(F.array_sort(c), ",")
+    return g.V(labels=["part"]).project("name", "common", "only_a", "combined", "pairs", by=["p_name", text(lists.intersect(a, b)), F.size(lists.difference(a, b)).cast("long"), F.size(lists.combine(a, b)).cast("long"), F.size(lists.product(a, b)).cast("long")])
+
+
+@query("SELECT DISTINCT c_mktsegment AS segment, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def dedup_marked(g):
+    pairs = g.V(labels=["customer"]).as_("segment").out("c_in").out("in_region").as_("region").select("segment", "region", by=["c_mktsegment", "r_name"])
+    return pairs.dedup()
+
+
+@query(f"SELECT l_quantity AS quantity, p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity < 5 GROUP BY 1, 2")
+def select_edge_and_vertex(g):
+    out = g.V(labels=["order"]).out_e("contains").has("quantity", P.lt(5)).as_("line").in_v().as_("part").select("line", "part", by=["quantity", "p_brand"])
+    return out.to_df().groupBy(F.col("line").alias("quantity"), F.col("part").alias("brand")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' END AS value, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1", "value", "n")
+def choose_options(g):
+    return g.V(labels=["customer"]).choose("c_mktsegment", options={"BUILDING": __.constant("b"), "MACHINERY": __.constant("m")}).group_count()
+
+
+@query(f"SELECT {v('order', 'l_orderkey')} AS id, min(l_quantity) AS least FROM lineitem WHERE l_suppkey IN (1, 2) GROUP BY 1")
+def sack_min(g):
+    start = g.V(TAGS["supplier"] * TAG + 1, TAGS["supplier"] * TAG + 2, labels=["supplier"])
+    out = start.with_sack(1e9).out_e("ships").sack("min", "quantity").in_v()
+    return out.df.groupBy("id").agg(F.min("_sack").alias("least"))
+
+
+@query(
+    f"WITH {FOLLOWS}, e AS (SELECT src, dst, CAST(min(abs(src - dst)) AS DOUBLE) AS w FROM f GROUP BY 1, 2), b0 AS (SELECT {TAGS['user'] * TAG + 3} AS id, CAST(0 AS DOUBLE) AS total), "
+    + ", ".join(f"b{i} AS (SELECT id, min(total) AS total FROM (SELECT * FROM b{i - 1} UNION ALL SELECT e.dst, total + w FROM b{i - 1} JOIN e ON e.src = b{i - 1}.id) GROUP BY 1)" for i in (1, 2, 3))
+    + " SELECT id, total FROM b3"
+)
+def weighted_distance(g):
+    users, follows = _users(g)
+    start = users.where(F.col("id") == TAGS["user"] * TAG + 3)
+    return algorithms.shortest_weights(follows.withColumn("weight", F.abs(F.col("src") - F.col("dst"))), start, "weight", rounds=3)
+
+
+@query("SELECT n_name AS nation, count(*) FILTER (WHERE n > 12) AS busy FROM (SELECT c_custkey, c_nationkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) JOIN nation ON n_nationkey = c_nationkey GROUP BY 1", "nation", "busy")
+def nested_inner_counts(g):
+    busy = __.in_("c_in").where(__.out("placed").count().is_(P.gt(12))).count()
+    return g.V(labels=["nation"]).where(__.in_("c_in")).project("nation", "busy", by=["n_name", busy])
+
+
+@query("SELECT o_orderstatus AS status, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1", "status", "mean")
+def group_mean(g):
+    return g.V(labels=["order"]).group("o_orderstatus", "o_totalprice", lambda c: F.round(F.avg(c), 4))
+
+
+@query(f"SELECT {v('order', 'o_orderkey')} AS id, round(coalesce((SELECT max(l_extendedprice) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45), -1), 2) AS most FROM orders", "id", "most")
+def project_coalesce(g):
+    dearest = __.coalesce(__.out_e("contains").has("quantity", P.gt(45)).values("price").max_(), __.constant(-1.0))
+    return g.V(labels=["order"]).project("id", "most", by=[T.id, lambda t: dearest(t).apply(lambda c: F.round(c, 2))])
