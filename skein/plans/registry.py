@@ -46,7 +46,7 @@ LINES = "orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey
 
 @query(f"SELECT p_brand AS brand, count(*) AS lines FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1", "brand", "lines")
 def flagship_brand_count(g):
-    return g.V(labels=["customer"]).out("placed").barrier().out("contains").barrier().group_count("p_brand")
+    return g.V(labels=["customer"]).out("placed").out("contains").barrier().group_count("p_brand")
 
 
 # --- scans and filters ---
