@@ -9,13 +9,13 @@ hardly falls with the depth. A tree node that doesn't thin out under branching c
 similar sets; its members become candidates of one another as a whole.
 
 Candidates that hang together are then confirmed on full sets: all pairs of a candidate group
-are counted exactly, in blocks of bounded size. Only the links' spanning forests leave a task.
+are counted exactly, in blocks of bounded size. Of what they link, only stars leave a task.
 
 Recall: a pair of similarity t is missed by one tree with probability of at most 1 - t at the
 first level (0.15 at 0.85) and by all TREES trees with 0.15 ** 12, about 1e-10; below the first
 level, two functions leave a survival of 0.97 a tree, about 1e-8 in all. The sketch comparison
-passes 128 functions' agreement from SKETCH_SHARE on, five standard deviations below a pair at
-the threshold. Sets and nodes are told apart by 64-bit and 128-bit hashes.
+passes pairs whose 128 functions agree less than expected at the threshold by up to SKETCH_SLACK
+standard deviations, and misses about 1e-7 of the pairs that stand there. Sets and nodes are told apart by 64-bit and 128-bit hashes.
 
 Defined results: a document without words (null, empty, or white space only) has an empty set,
 links with nothing and is its own component. Rows that share a doc_id get the class of their own
@@ -44,8 +44,8 @@ LEAF = 64
 #: A branch that keeps this share of a large node shows that its sets are similar.
 COHESIVE = 0.5
 DEPTH = 24
-#: Least share of agreeing functions of a candidate pair at a threshold of 0.85; it follows the threshold.
-SKETCH_SHARE = 0.68
+#: A candidate pair's sketches may agree less than at the threshold by so many standard deviations.
+SKETCH_SLACK = 5.3
 #: Sets, and their elements, of a block in the exact comparison.
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 4_000_000
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -143,9 +143,16 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, path array<int>, sketch binary")
 
 
-def _pick(level: int, j: int):
-    """The number of the function that a path picks below the first level."""
-    return F.pmod(F.xxhash64("node", F.lit(level), F.lit(j)), F.lit(FUNCTIONS)).cast("int")
+def _child(j: int):
+    """The j-th branch of a tree node: its path picks a function, the set's minwise token the child."""
+    function = F.pmod(F.xxhash64("node", F.lit(j)), F.lit(FUNCTIONS)).cast("int")
+    return F.xxhash64("node", F.lit(j), F.element_at("path", function + 1))
+
+
+def sketch_share(percent: int) -> float:
+    """The least share of agreeing functions of a candidate pair."""
+    t = percent / 100
+    return t - SKETCH_SLACK * (t * (1 - t) / FUNCTIONS) ** 0.5
 
 
 def branches(nodes: DataFrame, trees: int, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -155,6 +162,7 @@ def branches(nodes: DataFrame, trees: int, leaf: int = LEAF, depth: int = DEPTH)
     member have nothing to compare and end.
     """
     first = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.element_at("path", t + 1)))
+    # every level has the same plan, so that Spark compiles it once
     level = nodes.select("nid", F.explode(first).alias("node"), F.lit(None).cast("long").alias("parent"))
     small, links = [], []
     for d in range(1, depth + 1):
@@ -168,8 +176,7 @@ def branches(nodes: DataFrame, trees: int, leaf: int = LEAF, depth: int = DEPTH)
         if large.isEmpty():
             break
         onward = large.join(nodes.select("nid", "path"), "nid")
-        child = lambda j: F.xxhash64("node", F.lit(d), F.lit(j), F.element_at("path", _pick(d, j) + 1))  # noqa: E731, B023
-        level = onward.select("nid", F.explode(F.array(child(0), child(1))).alias("node"), F.col("n").alias("parent"))
+        level = onward.select("nid", F.explode(F.array(_child(0), _child(1))).alias("node"), F.col("n").alias("parent"))
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     return union(small), union(links)
 
@@ -177,9 +184,9 @@ def branches(nodes: DataFrame, trees: int, leaf: int = LEAF, depth: int = DEPTH)
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Those of the pairs that join what wasn't joined before."""
-    root = list(range(n))
+def stars(names: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For what the pairs join, links from each member to the one with the smallest name."""
+    root = list(range(len(names)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -187,14 +194,16 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple
             x = root[x]
         return x
 
-    out = []
     for left, right in pairs:
         for a, b in zip(left.tolist(), right.tolist()):
             x, y = find(a), find(b)
             if x != y:
+                if names[y] < names[x]:
+                    x, y = y, x
                 root[y] = x
-                out.append((a, b))
-    return out
+    top = np.array([find(x) for x in range(len(names))], np.int64)
+    away = np.flatnonzero(top != np.arange(len(names)))
+    return names[away], names[top[away]]
 
 
 def compare_leaves(leaves: DataFrame, share: float) -> DataFrame:
@@ -216,14 +225,14 @@ def compare_leaves(leaves: DataFrame, share: float) -> DataFrame:
                         yield part[close], part[close] + k
                     k += 1
 
-            own = np.array(forest(len(nid), pairs()), np.int64).reshape(-1, 2)
-            yield batches_of({"a": nid[own[:, 0]], "b": nid[own[:, 1]]}, LINK)
+            a, b = stars(nid, pairs())
+            yield batches_of({"a": a, "b": b}, LINK)
 
     return leaves.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
 
-def exact_links(sets: list[np.ndarray], over: int, under: int) -> list[tuple[int, int]]:
-    """A spanning forest of all pairs with under * intersection >= over * union, on full sets.
+def exact_links(names: np.ndarray, sets: list[np.ndarray], over: int, under: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over what is joined by pairs with under * intersection >= over * union, on full sets.
 
     Intersections are counted for all pairs at once, as products of 0/1 matrices, a slice of
     the shared elements at a time.
@@ -235,7 +244,7 @@ def exact_links(sets: list[np.ndarray], over: int, under: int) -> list[tuple[int
     common = np.zeros((n, n), np.float32 if size.max(initial=0) < 1 << 23 else np.float64)
     row = np.repeat(np.arange(n), size)
     if not len(element):
-        return []
+        return names[:0], names[:0]
     flat = np.concatenate(sets)
     place = np.minimum(np.searchsorted(element, flat), len(element) - 1)
     held = element[place] == flat
@@ -250,11 +259,11 @@ def exact_links(sets: list[np.ndarray], over: int, under: int) -> list[tuple[int
         common += m @ m.T
     union = size[:, None] + size[None, :] - common
     close = np.triu(under * common >= over * union, 1)
-    return forest(n, iter([np.nonzero(close)]))
+    return stars(names, iter([np.nonzero(close)]))
 
 
 def confirm(texts: DataFrame, width: int, over: int, under: int) -> DataFrame:
-    """Links (a, b) of a forest within each block pair. texts: group, i, j, nid, s1, s2, text."""
+    """Links (a, b) within each block pair, enough to join what belongs together. texts: group, i, j, nid, s1, s2, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["group", "i", "j"]):
@@ -270,10 +279,10 @@ def confirm(texts: DataFrame, width: int, over: int, under: int) -> DataFrame:
                         s = shingle_set(text, width)
                         if set_key(s) == want[r]:  # another row may share the doc_id
                             own[int(nid[r])] = s
-                names = list(own)
-                for x, y in exact_links(list(own.values()), over, under) if len(own) > 1 else ():
-                    a.append(names[x])
-                    b.append(names[y])
+                if len(own) > 1:
+                    x, y = exact_links(np.array(list(own), np.int64), list(own.values()), over, under)
+                    a += x.tolist()
+                    b += y.tolist()
             yield batches_of({"a": a, "b": b}, LINK)
 
     keys = ["group", "i", "j"]
@@ -292,7 +301,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, trees: i
     classes = saved(classes.withColumn("nid", F.col("s1")))
     small, similar = branches(classes.select("nid", "path"), trees)
     leaves = small.join(classes.select("nid", "sketch"), "nid")
-    candidates = connected_components(compare_leaves(leaves, SKETCH_SHARE * percent / 85).unionByName(similar))
+    candidates = connected_components(compare_leaves(leaves, sketch_share(percent)).unionByName(similar))
 
     # all pairs of a candidate group, in blocks: block b of a group meets every block from b on
     member = candidates.select(F.col("root").alias("group"), F.col("node").alias("nid")).join(classes.select("nid", "s1", "s2", "n", "least"), "nid")
