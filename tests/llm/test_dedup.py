@@ -48,6 +48,15 @@ def test_near_duplicates(spark):
         assert got[doc_id, n] == (least if n else doc_id, (least if n else doc_id) == doc_id)
 
 
+def test_near_duplicates_at_another_threshold(spark):
+    docs = odd_documents(spark, [x for s in range(8) for x in near_copies(4, 150, 6, 400 + s)])
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got, want = held(near_dedup.near_duplicates(docs, percent=80)), near_groups(rows, 80)
+    for i, (doc_id, _) in enumerate(rows):
+        n, least = want[i]
+        assert got[doc_id, n][0] == (least if n else doc_id)
+
+
 def test_large_tree_nodes_and_blocks(spark, monkeypatch):
     """With small limits, the same result comes by deep trees and by pairs of blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK_SETS", 16)
