@@ -40,7 +40,7 @@ from skein.llm.vocab import Memo
 FUNCTIONS = 128
 TREES = 12
 #: Largest tree node that is compared exhaustively.
-LEAF = 64
+LEAF = 1024
 #: A branch that keeps this share of a large node shows that its sets are similar.
 COHESIVE = 0.5
 DEPTH = 24
@@ -186,16 +186,18 @@ LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def stars(names: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """For what the pairs join, links from each member to the one with the smallest name."""
-    root = list(range(len(names)))
+    root = np.arange(len(names))
 
     def find(x: int) -> int:
         while root[x] != x:
-            root[x] = root[root[x]]
             x = root[x]
         return x
 
     for left, right in pairs:
-        for a, b in zip(left.tolist(), right.tolist()):
+        while len(left) and not np.array_equal(root, onward := root[root]):
+            root = onward
+        apart = root[left] != root[right]  # few, once a group hangs together
+        for a, b in zip(left[apart].tolist(), right[apart].tolist()):
             x, y = find(a), find(b)
             if x != y:
                 if names[y] < names[x]:
