@@ -221,7 +221,11 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     def pieces(keys: DataFrame) -> DataFrame:
         shared = place.join(keys.select("anchor"), "anchor").groupBy("tid").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
         named = shared.join(texts.select("tid", F.col("t1").alias("k1"), F.col("t2").alias("k2"), "least"), "tid")
-        own = named.join(docs, (named["k1"] == docs["t1"]) & (named["k2"] == docs["t2"]) & named["least"].eqNullSafe(docs["doc_id"]))
+        # by the text's key alone, as without_ranges joins: both read the same shuffled texts
+        # (a test of equality would become part of the join's key)
+        ends = [F.coalesce(c, F.lit(-(1 << 63))) for c in (named["least"], docs["doc_id"])]
+        one = (ends[0] <= ends[1]) & (ends[0] >= ends[1])
+        own = named.join(docs, (named["k1"] == docs["t1"]) & (named["k2"] == docs["t2"]) & one)
         return stretches(own.select("t1", "t2", "text", "places"), window)
 
     found = tree_repeats(pieces(often.where(F.col("n") <= largest)), window)
