@@ -70,7 +70,7 @@ def _word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-WORDS = Memo(_word_hash, 600_000)
+WORDS = Memo(_word_hash, 100_000)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

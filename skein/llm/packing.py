@@ -55,7 +55,7 @@ class ByteEncoder:
         ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.special}
         self.core = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.marks = tuple(self.special)
-        self.by_chunk = Memo(self.after_blank, 800_000)
+        self.by_chunk = Memo(self.after_blank, 250_000)
 
     def plain(self, text: str) -> bytes:
         return array("I", self.core.encode_ordinary(text)).tobytes()

@@ -74,7 +74,7 @@ class Units:
     def __post_init__(self) -> None:
         self.n_words, self.n_shapes = len(self.words) + 1, len(self.shapes) + 1
         self.size = self.n_words + self.n_shapes
-        self.pair = Memo(self._pair, 600_000)
+        self.pair = Memo(self._pair, 150_000)
 
     def __getstate__(self):
         return self.words, self.shapes
