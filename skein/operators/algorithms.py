@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.llm.components import connected_components as contracted
 from skein.operators.lineage import saved
 
 
@@ -48,26 +49,18 @@ def page_rank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, epsilo
     return state.select("id", "rank")
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """id and component: the smallest id, as text, of all vertices reached along edges in either direction.
 
-    Each round takes the smallest label around, then the label of the vertex so named (pointer
-    jumping), so the rounds grow with the logarithm of the longest path.
+    The edges are contracted in a random order until none is left, so the rounds grow with the
+    logarithm of the vertices, however long the paths; no number of rounds is set.
     """
-    known = vertices.select("id")
+    known = vertices.select("id").distinct()
     e = edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    both = saved(e.select("src", "dst").union(e.select("dst", "src")).where("src <> dst").distinct())
-    order = lambda c: F.struct(c.cast("string").alias("text"), c.alias("id"))
-    state = saved(known.distinct().select("id", order(F.col("id")).alias("least")))
-    for _ in range(rounds):
-        around = both.join(state.withColumnsRenamed({"id": "dst", "least": "theirs"}), "dst").groupBy("src").agg(F.min("theirs").alias("theirs"))
-        next_ = state.join(around.withColumnRenamed("src", "id"), "id", "left").select("id", "least", F.least("least", "theirs").alias("new"))
-        jump = next_.select(F.col("id").alias("to"), F.col("new").alias("beyond"))
-        state = saved(next_.join(jump, F.col("new.id") == F.col("to"), "left").select("id", F.least("new", "beyond").alias("least"), (F.least("new", "beyond") < F.col("least")).alias("changed")))
-        if state.where("changed").isEmpty():
-            break
-        state = state.drop("changed")
-    return state.select("id", F.col("least.text").alias("component"))
+    roots = contracted(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    own = saved(known.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    least = own.groupBy("root").agg(F.min(F.col("id").cast("string")).alias("component"))
+    return own.join(least, "root").select("id", "component")
 
 
 def peer_pressure(vertices: DataFrame, edges: DataFrame, iterations: int = 30, distribute: bool = False) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,19 @@ def test_components(g):
     assert of(g.vertex_frame(["person"]), g.edge_frame()) == {1: "1", 2: "1", 4: "1", 6: "6"}
 
 
+def path_of_random_ids(spark, n):
+    """Vertices and edges of a path whose ids are in random order."""
+    ids = random.Random(7).sample(range(10 * n), n)
+    return ids, spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+
+
+def test_components_of_long_paths(spark):
+    ids, v, e = path_of_random_ids(spark, 1000)
+    lone = spark.createDataFrame([(-5,), (-5,)], "id long")
+    got = {r["id"]: r["component"] for r in algorithms.connected_components(v.union(lone), e).collect()}
+    assert got == {i: min(map(str, ids)) for i in ids} | {-5: "-5"}
+
+
 def test_peer_pressure(g):
     own = {r["id"]: r["cluster"] for r in algorithms.peer_pressure(g.vertex_frame(), g.edge_frame()).collect()}
     assert own == {1: "1", 2: "1", 3: "1", 4: "1", 5: "1", 6: "6"}
