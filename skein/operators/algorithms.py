@@ -6,6 +6,8 @@ whether anything changed) come to the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,12 +89,13 @@ def peer_pressure(vertices: DataFrame, edges: DataFrame, iterations: int = 30, d
     return state.select("id", "cluster")
 
 
-def bfs(vertices: DataFrame, edges: DataFrame, sources: DataFrame, directed: bool = True, depth: int = 100) -> DataFrame:
-    """id and distance (hops) of all vertices reached from the sources, a frame with a column id."""
+def bfs(vertices: DataFrame, edges: DataFrame, sources: DataFrame, directed: bool = True, depth: int | None = None) -> DataFrame:
+    """id and distance (hops) of all vertices reached from the sources, a frame with a column id;
+    with a depth, of those at most so far away."""
     e = edges.select("src", "dst").distinct()
     e = saved(e if directed else e.union(e.select("dst", "src")).distinct())
     seen = front = saved(vertices.select("id").join(sources.select("id").distinct(), "id", "left_semi").withColumn("distance", F.lit(0)))
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         step = e.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         front = saved(step.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(k)))
         if front.isEmpty():
@@ -101,14 +104,21 @@ def bfs(vertices: DataFrame, edges: DataFrame, sources: DataFrame, directed: boo
     return seen
 
 
-def shortest_weights(edges: DataFrame, sources: DataFrame, weight: str, rounds: int = 100) -> DataFrame:
-    """id and total: the least sum of weights from the sources, by repeated relaxation."""
-    e = saved(edges.groupBy("src", "dst").agg(F.min(weight).cast("double").alias("w")))
+def shortest_weights(edges: DataFrame, sources: DataFrame, weight: str, rounds: int | None = None) -> DataFrame:
+    """id and total: the least sum of weights from the sources, by repeated relaxation; with a
+    number of rounds, over at most so many edges. Edges
+    without a weight take no part. A cycle whose weights sum to less than nothing is an error.
+    """
+    e = saved(edges.groupBy("src", "dst").agg(F.min(weight).cast("double").alias("w")).where("w is not null"))
     best = saved(sources.select("id").distinct().withColumn("total", F.lit(0.0)))
-    for _ in range(rounds):
+    for k in count(1) if rounds is None else range(1, rounds + 1):
         step = e.join(best.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("total") + F.col("w")).alias("other"))
         new = saved(best.join(step, "id", "full").select("id", F.least("total", "other").alias("total"), (F.col("total").isNull() | (F.col("other") < F.col("total"))).alias("better")))
-        if new.where("better").isEmpty():
+        reached, better = new.agg(F.count("*"), F.count_if("better")).first()
+        if not better:
             break
+        # a way of as many edges as vertices meets one twice, and is lighter for it
+        if rounds is None and k >= reached:
+            raise ValueError("a cycle of negative weight can be reached")
         best = new.drop("better")
     return best.select("id", "total")

@@ -28,7 +28,10 @@ from skein.operators.lineage import saved
 from skein.operators.predicates import P, as_predicate
 
 Inner = Callable[["Traversal"], "Traversal"]
-MOST_ROUNDS = 100
+#: A repeat that is still going after so many rounds is an error.
+MOST_ROUNDS = 10_000
+#: Results of so many rounds are saved as one frame, which keeps plans small.
+PARTS = 50
 
 
 class Anonymous:
@@ -718,7 +721,7 @@ class Traversal:
 
         With emit, what each round gives comes out too. Rows merge by multiplicity after each
         round, unless they differ in what travels along. Without times, rounds end when no
-        traverser is left, after MOST_ROUNDS at the latest.
+        traverser is left; some still on their way after MOST_ROUNDS, as on a cycle, are an error.
         """
         here, done = self, []
         plain = lambda t: t._on(t.df.select(*t.travelling, "id"), loaded=False) if t.kind == "vertex" else t
@@ -733,6 +736,11 @@ class Traversal:
                 here = here._on(saved(here.df))
                 if here.df.isEmpty():
                     break
+                if times is None and k == MOST_ROUNDS - 1 and not (here if until is None else here.not_(until)).df.isEmpty():
+                    raise RuntimeError(f"repeat: traversers are still on their way after {MOST_ROUNDS} rounds; give times to stop earlier")
+                if len(done) > PARTS:
+                    kept = _bag(self, done)
+                    done = [kept._on(saved(kept.df))]
             if emit and not (times is not None and k == times - 1 and emit is True):
                 done.append(plain(here if emit is True else here.where(emit)))
         if until is not None:

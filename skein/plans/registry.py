@@ -600,6 +600,14 @@ def weighted_distance(g):
     return algorithms.shortest_weights(follows.withColumn("weight", F.abs(F.col("src") - F.col("dst"))), start, "weight", rounds=3)
 
 
+@query()
+def weighted_distance_all(g):
+    """Over any number of edges; held against Dijkstra's method in the tests."""
+    users, follows = _users(g)
+    start = users.where(F.col("id") == TAGS["user"] * TAG + 3)
+    return algorithms.shortest_weights(follows.withColumn("weight", F.abs(F.col("src") - F.col("dst"))), start, "weight")
+
+
 @query("SELECT n_name AS nation, count(*) FILTER (WHERE n > 12) AS busy FROM (SELECT c_custkey, c_nationkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) JOIN nation ON n_nationkey = c_nationkey GROUP BY 1", "nation", "busy")
 def nested_inner_counts(g):
     busy = __.in_("c_in").where(__.out("placed").count().is_(P.gt(12))).count()

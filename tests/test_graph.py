@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import dates, lists, maths, strings
 from skein.graph import PropertyGraph, numeric_id
-from skein.operators import algorithms
+from skein.operators import algorithms, traversal
 from skein.operators.predicates import P
 from skein.operators.traversal import __
 from skein.sources import graph_files, gremlin_csv
@@ -68,6 +68,22 @@ def test_distances(g):
     assert total == {1: 0.0, 2: 0.5, 3: 0.4, 4: 1.0, 5: 2.0}
 
 
+def test_long_ways_have_no_limit(spark, monkeypatch):
+    n = 104
+    v, e = spark.range(n).coalesce(1), spark.range(n - 1).coalesce(1).select("id", F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.5).alias("w"))
+    start = v.where("id = 0")
+    assert {r["id"]: r["distance"] for r in algorithms.bfs(v, e, start).collect()} == {i: i for i in range(n)}
+    assert {r["id"]: r["total"] for r in algorithms.shortest_weights(e, start, "w").collect()} == {i: i / 2 for i in range(n)}
+    own = PropertyGraph(spark, {"v": v}, {"e": e})
+    assert own.V(0).repeat(__.out("e"), until=__.not_(__.out("e"))).to_list() == [n - 1]
+    round_ = PropertyGraph(spark, {"v": v}, {"e": spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "id long, src long, dst long")})
+    monkeypatch.setattr(traversal, "MOST_ROUNDS", 4)
+    with pytest.raises(RuntimeError, match="still on their way"):
+        round_.V(0).repeat(__.out("e"), until=__.not_(__.out("e")))
+    with pytest.raises(ValueError, match="negative"):
+        algorithms.shortest_weights(round_.edge_frame().withColumn("w", F.lit(-1)), start, "w")
+
+
 def test_changes(spark, g):
     dropped = g.drop_vertices(spark.createDataFrame([(4,)], "id long"))
     assert sorted(dropped.V().to_list()) == [1, 2, 3, 5, 6] and sorted(dropped.E().to_list()) == [7, 9, 12]

@@ -1,6 +1,9 @@
+import heapq
+
 import pytest
 
 from skein.plans import registry
+from skein.sources.trade import TAG, TAGS, trade_graph
 from tests.compare import differences
 
 SMALL = "/root/testdata/sf0.001"
@@ -17,6 +20,36 @@ def test_samples(spark):
     assert 0 < registry.QUERIES["coin_p"](spark, SMALL).count() < 150
 
 
+START = TAGS["user"] * TAG + 3
+
+
+@pytest.fixture(scope="module")
+def follows(spark):
+    g = trade_graph(spark, SMALL)
+    users = {r["id"] for r in g.vertex_frame(["user"]).select("id").collect()}
+    return users, {(r["src"], r["dst"]) for r in g.edge_frame(["follows"]).select("src", "dst").collect()}
+
+
+def least_sums(users, edges, weight):
+    """Dijkstra's method."""
+    out: dict = {}
+    for a, b in edges:
+        out.setdefault(a, []).append((b, weight(a, b)))
+    best, todo = {}, [(0, START)]
+    while todo:
+        d, a = heapq.heappop(todo)
+        if a not in best:
+            best[a] = d
+            for b, w in out.get(a, []):
+                heapq.heappush(todo, (d + w, b))
+    return best
+
+
+def test_distances_over_all_edges(spark, follows):
+    got = registry.QUERIES["weighted_distance_all"](spark, SMALL).collect()
+    assert {r["id"]: r["total"] for r in got} == least_sums(*follows, lambda a, b: abs(a - b)) and len({r["id"] for r in got}) == len(got)
+
+
 def test_entry(spark):
     import __spark_entry__
 
