@@ -145,6 +145,11 @@ def hop_out_ids(g):
     return g.V(labels=["customer"]).where(lambda t: t._on(t.df.where(F.col("id") % 10 == 0))).out("placed").id()
 
 
+@query(f"SELECT {v('order', 'o_orderkey')} AS id FROM orders JOIN customer ON o_custkey = c_custkey", "id")
+def hop_out_ids_all(g):
+    return g.V(labels=["customer"]).out("placed").id()
+
+
 @query("SELECT r_name AS region, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1", "region", "customers")
 def two_hop(g):
     return g.V(labels=["customer"]).out("c_in").barrier().out("in_region").barrier().group_count("r_name")
@@ -440,6 +445,12 @@ def connected_components(g):
     return algorithms.connected_components(users, follows.where("src <> dst and src % 5 = 0 and dst % 5 <> 1 and abs(src - dst) < 20"))
 
 
+@query()
+def connected_components_all(g):
+    """On all edges; recursive SQL is too slow there, the tests hold it against a union-find."""
+    return algorithms.connected_components(*_users(g))
+
+
 @query(f"WITH RECURSIVE {FOLLOWS}, s AS (SELECT DISTINCT src, dst FROM f WHERE src <> dst AND src % 3 <> 2), r AS (SELECT {TAGS['user'] * TAG + 3} AS id, 0 AS distance UNION SELECT s.dst, r.distance + 1 FROM r JOIN s ON r.id = s.src WHERE r.distance < 6) SELECT id, min(distance) AS distance FROM r GROUP BY 1")
 def bfs_distance(g):
     users, follows = _users(g)
@@ -447,6 +458,13 @@ def bfs_distance(g):
     return algorithms.bfs(users, follows.where("src <> dst and src % 3 <> 2"), start, depth=6)
 
 
+@query()
+def bfs_distance_all(g):
+    """On all edges and to any depth; held against a search in the tests."""
+    users, follows = _users(g)
+    return algorithms.bfs(users, follows, users.where(F.col("id") == TAGS["user"] * TAG + 3))
+
+
 def _peer_sql(rounds: int) -> str:
     steps = ["c0 AS (SELECT id, CAST(id AS VARCHAR) AS cluster FROM u)"]
     for i in range(1, rounds + 1):

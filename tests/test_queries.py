@@ -45,7 +45,28 @@ def least_sums(users, edges, weight):
     return best
 
 
+def test_components_of_all_edges(spark, follows):
+    users, edges = follows
+    root = {i: i for i in users}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a in users and b in users:
+            root[find(a)] = find(b)
+    least: dict = {}
+    for i in users:
+        least[find(i)] = min(str(i), least.get(find(i), str(i)))
+    got = registry.QUERIES["connected_components_all"](spark, SMALL).collect()
+    assert {r["id"]: r["component"] for r in got} == {i: least[find(i)] for i in users} and len(got) == len(users)
+
+
 def test_distances_over_all_edges(spark, follows):
+    got = registry.QUERIES["bfs_distance_all"](spark, SMALL).collect()
+    assert {r["id"]: r["distance"] for r in got} == least_sums(*follows, lambda a, b: 1) and len({r["id"] for r in got}) == len(got)
     got = registry.QUERIES["weighted_distance_all"](spark, SMALL).collect()
     assert {r["id"]: r["total"] for r in got} == least_sums(*follows, lambda a, b: abs(a - b)) and len({r["id"] for r in got}) == len(got)
 
