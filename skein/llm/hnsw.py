@@ -187,7 +187,8 @@ def clean(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 def build_index(own: DataFrame, keep: int, shard: int = SHARD) -> DataFrame:
     """A row for each shard (INDEX). own: id, v; keep: ids that are kept of equal vectors."""
     rank = Window.partitionBy("v").orderBy("id")
-    few = own.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).withColumn("k", F.row_number().over(rank)).where(F.col("k") <= keep)
+    single = own.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).distinct()  # repeats must not use up places
+    few = single.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= keep)
     entries = few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     entries = saved(entries)
     shards = max(1, -(-entries.count() // shard))

@@ -103,6 +103,15 @@ def test_neighbours_of_odd_vectors(spark):
     assert got[1000] == [(0.0, 1001 + i) for i in range(10)]
 
 
+def test_repeated_rows_use_up_no_places(spark):
+    rows = [(i, [1.0, z, 3.0]) for i in range(1, 21) for z in (0.0, -0.0, 0.0)]
+    own = hnsw.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    index = hnsw.build_index(own, 11)
+    assert index.first()["ids"] == [list(range(1, 12))]
+    got = hnsw.search(index, own.where("id = 3").limit(1)).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 0.0) for i in range(1, 12) if i != 3]
+
+
 def test_recall(spark):
     import numpy as np
 
