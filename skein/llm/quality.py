@@ -3,10 +3,12 @@
 A word is read as two units: itself, if it is among the frequent words, and its shape (runs of
 upper case, lower case, digits, and other characters as they are). Each unit has an index vector
 with a few random signs. Its word vector adds to that the index vectors of the units around it in
-the training texts. A document is the mean of its words' vectors, beside a few rates that a bag
-of words can't show (words that repeat the one before, words and lines seen before, length). A
-network with one hidden layer in numpy turns that into a logit; dividing it by a temperature
-fitted on rows that the training didn't see gives calibrated probabilities.
+the training texts. A run of LONG or more characters without blanks (Chinese prose, encoded or
+minified junk) is read as its overlapping groups of GRAM characters, over its whole length, and
+counts as one word for every GRAM groups. A document is the mean of its words' vectors, beside a
+few rates that a bag of words can't show (words that repeat the one before, words and lines seen
+before, length). A network with one hidden layer in numpy turns that into a logit; dividing it by
+a temperature fitted on rows that the training didn't see gives calibrated probabilities.
 
 Only the fit is bounded: it takes at most SAMPLE labelled rows, spread by a hash of doc_id, and
 so the driver holds SAMPLE * (DIM + RATES) numbers. Scoring is one pass over all rows.
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,18 +41,35 @@ RATES = 6
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 2e-3, 1e-4
 CALIBRATION = 8  # every so many rows of the sample
 SEED = 11
+LONG, GRAM = 64, 3
+BLOCK = 1 << 16  # units that are held at once
 
 
 def shape(word: str) -> str:
     """Runs of like characters, one sign each: A, a, 9, or the character itself."""
     out = ""
-    for c in word[:64]:
+    for c in word:
         s = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if out[-1:] != s:
             out += s
     return out
 
 
+def grams(run: str, start: int = 0, most: int | None = None) -> Iterator[str]:
+    """The overlapping groups of GRAM characters, from one on, at most so many."""
+    end = len(run) - GRAM + 1
+    return (run[i : i + GRAM] for i in range(start, end if most is None else min(end, start + most)))
+
+
+def pieces(words: list[str]) -> Iterator[str]:
+    """The words in their order, long ones as their groups of characters."""
+    for w in words:
+        if len(w) < LONG:
+            yield w
+        else:
+            yield from grams(w)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -87,9 +106,9 @@ class Units:
         w = self.words.get(word.lower(), self.n_words - 1)
         return w * self.n_shapes + self.shapes.get(shape(word), self.n_shapes - 1)
 
-    def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words, and of their shapes after all words' numbers."""
-        w, s = np.divmod(np.fromiter(map(self.pair.__getitem__, words), np.int64, len(words)), self.n_shapes)
+        w, s = np.divmod(np.fromiter(map(self.pair.__getitem__, words), np.int64), self.n_shapes)
         return w, s + self.n_words
 
     def index_vectors(self) -> np.ndarray:
@@ -119,10 +138,16 @@ def features(texts: list[str], units: Units, vectors: np.ndarray) -> np.ndarray:
     for i, text in enumerate(texts):
         words = text.split()
         if words:
-            w, s = units.read(words)
-            count = np.bincount(np.concatenate([w, s]), minlength=units.size)
+            long_ = [w for w in words if len(w) >= LONG]
+            w, s = units.read(x for x in words if len(x) < LONG) if long_ else units.read(words)
+            count, n = np.bincount(np.concatenate([w, s]), minlength=units.size), len(w)
+            for run in long_:
+                for start in range(0, len(run) - GRAM + 1, BLOCK):
+                    w, s = units.read(grams(run, start, BLOCK))
+                    count = count + np.bincount(np.concatenate([w, s]), minlength=units.size) / GRAM
+                    n += len(w) / GRAM
             some = np.flatnonzero(count)
-            out[i, :DIM] = count[some].astype(np.float32) @ vectors[some] / len(words)
+            out[i, :DIM] = count[some].astype(np.float32) @ vectors[some] / n
         out[i, DIM:] = rates(text, words)
     return out
 
@@ -185,8 +210,8 @@ def count_units(sample: DataFrame) -> Units:
         for batch in batches:
             found: Counter = Counter()
             for text in as_texts(batch.column("text")):
-                words = set(text.split())
-                found.update({(0, w.lower()) for w in words if len(w) < 64} | {(1, shape(w)) for w in words})
+                words = set(pieces(text.split()))
+                found.update({(0, w.lower()) for w in words} | {(1, shape(w)) for w in words})
             yield batches_of({"kind": [k for k, _ in found], "unit": [u for _, u in found], "n": list(found.values())}, out)
 
     total = sample.mapInArrow(run, "kind int, unit string, n long").groupBy("kind", "unit").agg(F.sum("n").alias("n"))
@@ -203,15 +228,18 @@ def word_vectors(sample: DataFrame, units: Units) -> np.ndarray:
         for batch in batches:
             for text in as_texts(batch.column("text")):
                 words = text.split()
-                if len(words) > 1:
-                    w, s = units.read(words)
+                if len(words) > 1 or len(text) >= LONG:
+                    w, s = units.read(pieces(words))
                     unit = np.where(w < units.n_words - 1, w, s)
-                    around = np.zeros((len(unit), DIM), np.float32)
-                    own = index[unit]
-                    for k in range(1, AROUND + 1):
-                        around[k:] += own[:-k]
-                        around[:-k] += own[k:]
-                    np.add.at(total, unit, around)
+                    for start in range(0, len(unit), BLOCK):
+                        first = max(0, start - AROUND)
+                        own = index[unit[first : start + BLOCK + AROUND]]
+                        around = np.zeros_like(own)
+                        for k in range(1, AROUND + 1):
+                            around[k:] += own[:-k]
+                            around[:-k] += own[k:]
+                        at = unit[start : start + BLOCK]
+                        np.add.at(total, at, around[start - first :][: len(at)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     sums = sum((np.frombuffer(r["sums"], np.float32).reshape(-1, DIM) for r in sample.coalesce(8).mapInArrow(run, "sums binary").collect()), np.zeros((units.size, DIM), np.float32))

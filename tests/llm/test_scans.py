@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from skein.llm import chat_format, hnsw, license_scan, quality, queries
@@ -84,6 +87,22 @@ def test_quality_without_labels_and_odd_texts(spark):
     assert not any(r["held_out"] for r in scored if r["doc_id"] is None)
 
 
+def test_quality_reads_long_runs_to_their_end(spark):
+    good, bad = ["".join(random.Random(i).choices("天地玄黃宇宙洪荒", k=300)) for i in range(40)], ["".join(random.Random(i).choices("QZqz0189+/", k=300)) for i in range(40)]
+    head = "中" * 100  # the same at the start of all
+    docs = spark.createDataFrame([(i, head + t) for i, t in enumerate([*good, *bad])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, quality int")
+    score = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert min(score[i] for i in range(40)) > max(score[i] for i in range(40, 80))
+    assert quality.shape("a" * 70 + "9") == "a9"
+    units = quality.Units({"abc": 0}, {"a": 0, "9": 1})
+    vectors = np.eye(units.size, quality.DIM, dtype=np.float32)
+    one, other = (quality.features(["x" * n + tail], units, vectors)[0, : quality.DIM] for n, tail in ((200_000, "999"), (200_000, "xxx")))
+    assert (one != other).any()
+    # a run counts as one word for every three characters
+    assert quality.features(["abc " + "9" * 66], units, vectors)[0, 0] == pytest.approx(1 / (1 + 64 / 3))
+
+
 def brute(rows, k):
     ok = {i: v for i, v in rows if i is not None and v and all(x is not None and abs(x) < float("inf") for x in v) and any(v) and len(v) == 3}
     gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
