@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.components import connected_components as contracted
+from skein.operators.components import connected_components as contracted
 from skein.operators.lineage import saved
 
 

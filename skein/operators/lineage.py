@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The frame, kept in the shared folder that the session names in spark.checkpoint.dir; only
-    where it names none (a single machine) in a temporary one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: spark.checkpoint.dir. Where the session
+    names none, a single machine takes a temporary folder; on a cluster that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut, kept in the shared folder. spark.cleaner.referenceTracking.cleanCheckpoints
+    lets Spark remove it once nothing refers to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
