@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.lineage import saved, shared_folder  # noqa: F401
+
 TEXT_TABLE = "documents"
 
 
@@ -18,22 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share: spark.checkpoint.dir. Only
-    where the cluster names none (a single machine, as in tests) is a temporary folder taken."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut, kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null counts as empty."""
     if pa.types.is_string(column.type):

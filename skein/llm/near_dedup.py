@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import as_bytes, batches_of, doc_text, saved, sorted_groups, table
-from skein.llm.components import connected_components
+from skein.operators.components import connected_components
 from skein.llm.vocab import Memo
 
 FUNCTIONS = 128
