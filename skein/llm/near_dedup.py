@@ -25,7 +25,7 @@ that it is linked with, or null. Extra columns aren't read. An empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -73,8 +73,8 @@ def _word_hash(word: bytes) -> int:
 WORDS = Memo(_word_hash, 100_000)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, n)
 
 
 def rolled(h: np.ndarray, width: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of the lower-cased text."""
     words = text.lower().split()
-    return np.unique(rolled(word_hashes(words), width)) if words else np.zeros(0, np.uint64)
+    return np.unique(rolled(word_hashes(words, len(words)), width)) if words else np.zeros(0, np.uint64)
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import components, near_dedup, substring_dedup
+from skein.llm import near_dedup, substring_dedup
+from skein.operators import components
 from tests.llm.helpers import empty_documents, near_groups, odd_documents, odd_texts, without_repeats, words_of
 
 
@@ -87,12 +88,15 @@ def place_rows(df) -> list[tuple]:
     return sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("largest", [20_000, 1])
+@pytest.mark.parametrize("largest", [20_000, 2])
 def test_substrings(spark, largest):
     passage = " ".join(words_of(77, 50))
     short = " ".join(words_of(78, 34))
     extra = [" ".join(words_of(200 + i, 20 + i)) + " " + (passage if i % 2 else short) + " " + " ".join(words_of(300 + i, 9)) for i in range(12)]
     extra += [passage + " " + passage, short + " x " + short, passage[: len(passage) // 2] + " " + passage]
+    # near copies, and a phrase in many places: groups of many different stretches
+    extra += near_copies(12, 90, 5, 60)
+    extra += [" ".join([*words_of(500 + i, 30), *words_of(79, 8 + i % 30), *words_of(600 + i // 2, 30)]) for i in range(40)]
     docs = odd_documents(spark, extra)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = sorted((str(i), *x) for (i, _), x in zip(rows, without_repeats([t for _, t in rows])))
@@ -105,14 +109,37 @@ def test_substrings_of_nothing(spark):
 
 def test_every_window_has_an_anchor():
     rng = np.random.default_rng(1)
-    for n in (34, 35, 36, 200):
-        h = rng.integers(0, 1 << 62, n, dtype=np.uint64)
-        anchors, first, windows = substring_dedup.anchored(h, 35, 8)
-        assert windows.sum() == max(0, n - 34) and (windows <= 28).all()
-        runs = near_dedup.rolled(h, 8)
-        for a, f, k in zip(anchors, first, windows):
-            for p in range(f, f + k):
-                assert runs[p : p + 28].min() == a
+    texts = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (34, 35, 0, 36, 200)]
+    h, doc = np.concatenate(texts), np.repeat(np.arange(5), [len(t) for t in texts])
+    anchors, first, ahead, windows = substring_dedup.anchored(h, doc, 35, 8)
+    assert windows.sum() == sum(max(0, len(t) - 34) for t in texts) and (windows <= 28).all()
+    runs = near_dedup.rolled(h, 8)
+    for a, f, o, k in zip(anchors, first, ahead, windows):
+        assert runs[f + o] == a
+        for p in range(f, f + k):
+            assert runs[p : p + 28].min() == a and doc[p] == doc[p + 34]
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 3, 300)
+    starts = np.arange(0, 300, 2)
+    order, shared = substring_dedup.suffix_order(ids, starts, 16)
+    cut = [tuple(ids[s : s + 16]) for s in starts[order]]
+    assert cut == sorted(cut)
+    for x, y, n in zip(starts[order], starts[order][1:], shared):
+        m = 0
+        while max(x, y) + m < 300 and ids[x + m] == ids[y + m]:
+            m += 1
+        assert min(m, 16) == min(n, 16)
+
+
+def test_equal_segments_have_equal_hashes():
+    h = np.random.default_rng(4).integers(0, 1 << 62, 40, dtype=np.uint64)
+    twice = np.concatenate([h, h[:1], h])
+    one, two = substring_dedup.segment_hashes(twice, np.array([0, 41]), np.array([40, 81]), substring_dedup.MULTIPLY[0])
+    other = substring_dedup.segment_hashes(twice, np.array([0, 1]), np.array([39, 41]), substring_dedup.MULTIPLY[0])
+    assert one == two and one not in other
 
 
 def test_texts_of_the_table(spark):
