@@ -1,21 +1,26 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The automaton reads tokens. It starts as one state with a loop for every byte symbol and takes
-in the merges one by one, in their order. The gadget of a merge (a, b) -> ab takes the arc b
-from the state after a, and adds the arc ab wherever an arc a stood; the state after ab has the
-arcs that the state after b has at that moment. The paths that remain spell the results of
-byte-pair merging and nothing else, and each string is spelt by one path only: the automaton is
-deterministic on strings.
+Merges are compiled by gadgets, one by one, in their order, into an automaton that reads tokens.
+It starts as one state with a loop for every byte symbol. The gadget of a merge (a, b) -> ab takes
+the arc b from the state after a, and adds the arc ab wherever an arc a stood; the state after ab
+has the arcs that the state after b has at that moment. The paths that remain spell the results of
+byte-pair merging and nothing else, and each string is spelt by one path only.
 
 Arcs that later tokens inherit are not written out (they would be the square of the vocabulary):
 a state keeps the merges that removed its own arcs and links to the state it was copied from.
-A row of the table, one (state, token) entry, is worked out when first used, then kept.
 
-Encoding runs over the prefixes of a word: each prefix has one path, so one state; arcs leave
-it along a trie of tokens. Decoding emits the labels of the arcs.
+For encoding, the paths are made deterministic on symbols. A state of this second automaton is the
+longest end of the string that begins some token (a node of the tokens' tree, with links to
+shorter ends), together with the last token of the path to each place within that end. These fix
+the last token of the next prefix, since a token reaches back no further. Its table has a row for
+each (state, symbol) that words have reached; the row is compiled from the gadgets when it is
+first needed, and encoding a word is one look-up for each symbol, followed by one walk back over
+the last tokens. (All words of the vocabulary lead to some 130,000 states; beyond STATES the table
+is begun anew.) Decoding emits the labels of the arcs.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; texts of any
-length are read whole; repeated rows give repeated rows; a null doc_id is passed on.
+length are read whole; repeated rows give repeated rows; a null doc_id is passed on; extra columns
+aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +33,14 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import as_texts, batches_of, doc_text, table
+from skein.llm.common import as_bytes, batches_of, doc_text, table
 from skein.llm.vocab import Memo, WordVocabulary, default_path
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ENDLESS = 1 << 40
-ENDS = -1
+#: Rows of the table before it is begun anew.
+STATES = 400_000
+START = -1
 
 
 class MergeAutomaton:
@@ -45,26 +52,83 @@ class MergeAutomaton:
         self.right: dict[int, int] = {}
         self.born = dict.fromkeys(symbols, -1)
         self.arcs: dict[tuple[int, int], bool] = {}
-        #: nested by symbol, with a node's token under ENDS; tokens that no path reaches are left out
-        self.trie: dict = {s: {ENDS: s} for s in symbols}
-        self.length = dict.fromkeys(symbols, 1)
-        spelt = {s: (s,) for s in symbols}
+        self.spelt = {s: (s,) for s in symbols}  # tokens that no path reaches are left out
         for rank, (a, b, ab) in enumerate(merges):
-            self.add(rank, a, b, ab, spelt)
+            self.add(rank, a, b, ab)
+        self.length = {t: len(s) for t, s in self.spelt.items()}
+        self.plant()
+        self.begin()
 
-    def add(self, rank: int, a: int, b: int, ab: int, spelt: dict[int, tuple[int, ...]]) -> None:
+    def add(self, rank: int, a: int, b: int, ab: int) -> None:
         """The gadget of one merge. Without the arc b after a, the merge never applies."""
-        if a not in spelt or b not in spelt or not self.has_arc(a, b):
+        if a not in self.spelt or b not in self.spelt or not self.has_arc(a, b):
             return
         self.arcs.pop((a, b), None)
         self.removed[a, b] = rank
         self.left[ab], self.right[ab], self.born[ab] = a, b, rank
-        spelt[ab] = spelt[a] + spelt[b]
-        self.length[ab] = len(spelt[ab])
-        node = self.trie
-        for symbol in spelt[ab]:
-            node = node.setdefault(symbol, {})
-        node[ENDS] = ab
+        self.spelt[ab] = self.spelt[a] + self.spelt[b]
+
+    def plant(self) -> None:
+        """The tokens' tree: children and depth of each node, its longest proper end that is a
+        node too, and the tokens that end there, the longest first."""
+        self.child: list[dict[int, int]] = [{}]
+        self.depth = [0]
+        own: dict[int, int] = {}
+        for token, symbols in self.spelt.items():
+            at = 0
+            for s in symbols:
+                onward = self.child[at].get(s)
+                if onward is None:
+                    onward = self.child[at][s] = len(self.child)
+                    self.child.append({})
+                    self.depth.append(self.depth[at] + 1)
+                at = onward
+            own[at] = token
+        self.shorter = [0] * len(self.child)
+        self.ends: list[tuple[int, ...]] = [()] * len(self.child)
+        level = [0]
+        while level:
+            below = []
+            for at in level:
+                for s, onward in self.child[at].items():
+                    if at:
+                        self.shorter[onward] = self.onward(self.shorter[at], s)
+                    mine = (own[onward],) if onward in own else ()
+                    self.ends[onward] = mine + self.ends[self.shorter[onward]]
+                    below.append(onward)
+            level = below
+
+    def onward(self, node: int, symbol: int) -> int:
+        while (to := self.child[node].get(symbol)) is None:
+            if not node:
+                return 0
+            node = self.shorter[node]
+        return to
+
+    def begin(self) -> None:
+        """An empty table: the state of the empty string alone."""
+        self.arcs.clear()
+        self.table: dict[tuple[int, int], int] = {}
+        self.state: list[tuple[int, tuple[int, ...]]] = [(0, (START,))]
+        self.number = {self.state[0]: 0}
+        self.last = [START]
+
+    def compiled(self, state: int, symbol: int) -> int:
+        """A row of the table: the state that a symbol leads to."""
+        node, lasts = self.state[state]
+        node = self.onward(node, symbol)
+        for t in self.ends[node]:
+            before = lasts[self.length[t] - 1]
+            if before == START or self.has_arc(before, t):
+                break
+        new = (node, (t, *lasts[: self.depth[node]]))
+        to = self.number.get(new)
+        if to is None:
+            to = self.number[new] = len(self.state)
+            self.state.append(new)
+            self.last.append(t)
+        self.table[state, symbol] = to
+        return to
 
     def has_arc(self, a: int, b: int) -> bool:
         """Whether the state after a has the arc b.
@@ -98,29 +162,18 @@ class MergeAutomaton:
 
     def path(self, symbols: list[int]) -> list[int]:
         """The tokens of the one path that spells these symbols."""
-        n = len(symbols)
-        state: list[int | None] = [None] * (n + 1)
-        arcs = self.arcs
-        for i in range(n):
-            at, node = state[i], self.trie
-            for j in range(i, n):
-                node = node.get(symbols[j])
-                if node is None:
-                    break
-                t = node.get(ENDS)
-                if t is not None and state[j + 1] is None:
-                    if i:
-                        ok = arcs.get((at, t))
-                        if ok is None:
-                            ok = self.has_arc(at, t)
-                        if not ok:
-                            continue
-                    state[j + 1] = t
-        out = []
+        if len(self.table) > STATES:
+            self.begin()
+        at, lasts, get = 0, [], self.table.get
+        for s in symbols:
+            to = get((at, s))
+            at = self.compiled(at, s) if to is None else to
+            lasts.append(self.last[at])
+        out, n, length = [], len(lasts), self.length
         while n:
-            t = state[n]
+            t = lasts[n - 1]
             out.append(t)
-            n -= self.length[t]
+            n -= length[t]
         out.reverse()
         return out
 
@@ -130,29 +183,28 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         self.vocab = WordVocabulary(path)
-        self.automaton = MergeAutomaton(self.vocab.merges, [*self.vocab.symbol, *self.vocab.final_symbol])
-        self.label = {i: s for s, i in self.vocab.ids.items()} | {i: s for s, i in self.vocab.special.items()}
-        self.by_word = Memo(self.encode_word, 1_000_000)
+        self.automaton = MergeAutomaton(self.vocab.merges, [*self.vocab.symbol.values(), *self.vocab.final_symbol.values()])
+        self.label = {i: s for s, i in self.vocab.ids.items()} | {i: s.decode() for s, i in self.vocab.special.items()}
         self.by_chunk = Memo(self.encode_chunk)
         self.labels = Memo(self.decode_ids)
 
-    def encode_word(self, word: str) -> bytes:
-        return array("I", self.automaton.path(self.vocab.symbols(word))).tobytes()
-
-    def encode_chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.by_word.__getitem__, self.vocab.words(chunk)))
+    def encode_chunk(self, chunk: bytes) -> bytes:
+        ids = array("I")
+        for word in self.vocab.words(chunk):
+            ids.extend(self.automaton.path(self.vocab.symbols(word)))
+        return ids.tobytes()
 
-    def pieces(self, text: str) -> list[bytes]:
-        """The identifiers of the text's chunks, each as little-endian unsigned 32-bit integers."""
+    def pieces(self, raw: bytes) -> list[bytes]:
+        """The identifiers of the chunks of a text in UTF-8, each as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for part, special in self.vocab.segments(text):
-            out += map(self.by_chunk.__getitem__, self.vocab.chunks(part))
+        for part, special in self.vocab.segments(raw):
+            out += map(self.by_chunk.__getitem__, part.split())
             if special is not None:
                 out.append(array("I", [self.vocab.special[special]]).tobytes())
         return out
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.pieces(text))
+    def encode(self, raw: bytes) -> bytes:
+        return b"".join(self.pieces(raw))
 
     def decode_ids(self, ids: bytes) -> str:
         """Arc labels with a blank between tokens, as the library joins them where no decoder is named."""
@@ -181,7 +233,7 @@ def encode_decode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
         sha = hashlib.sha256
         for batch in batches:
             columns: dict = {name: [] for name in out.names if name != "doc_id"}
-            for text in as_texts(batch.column("text")):
+            for text in as_bytes(batch.column("text")):
                 pieces = own.pieces(text)
                 ids = b"".join(pieces)
                 decoded = " ".join(map(own.labels.__getitem__, filter(None, pieces)))

@@ -6,7 +6,8 @@ equals, and the pair is joined. The count is the number of symbols at first less
 merges; no identifiers are emitted. Counts of words and chunks are remembered in each worker.
 
 Defined results: a null or empty text has 0 tokens; texts of any length are read whole;
-repeated rows give repeated rows; a null doc_id is passed on; an empty table gives no rows.
+repeated rows give repeated rows; a null doc_id is passed on; extra columns aren't read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import as_texts, batches_of, doc_text, table
+from skein.llm.common import as_bytes, batches_of, doc_text, table
 from skein.llm.vocab import Memo, WordVocabulary, default_path
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -30,7 +31,7 @@ class HeapCounter:
     def __init__(self, path: str) -> None:
         self.vocab = WordVocabulary(path)
         self.rank = {(a, b): (r, ab) for r, (a, b, ab) in enumerate(self.vocab.merges)}
-        self.by_word = Memo(self.count_word, 1_000_000)
+        self.by_word = Memo(self.count_word)
         self.by_chunk = Memo(self.count_chunk)
 
     def count_word(self, word: str) -> int:
@@ -68,13 +69,14 @@ class HeapCounter:
                 heappush(heap, (found[0], h, found[1]))
         return count
 
-    def count_chunk(self, chunk: str) -> int:
+    def count_chunk(self, chunk: bytes) -> int:
         return sum(map(self.by_word.__getitem__, self.vocab.words(chunk)))
 
-    def count(self, text: str) -> int:
+    def count(self, raw: bytes) -> int:
+        """Tokens of a text in UTF-8."""
         total = 0
-        for part, special in self.vocab.segments(text):
-            total += sum(map(self.by_chunk.__getitem__, self.vocab.chunks(part))) + (special is not None)
+        for part, special in self.vocab.segments(raw):
+            total += sum(map(self.by_chunk.__getitem__, part.split())) + (special is not None)
         return total
 
 
@@ -93,9 +95,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            texts = as_texts(batch.column("text"))
+            texts = as_bytes(batch.column("text"))
             n = [own.count(t) for t in texts]
-            yield batches_of({"doc_id": batch.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}, out)
+            yield batches_of({"doc_id": batch.column("doc_id"), "n_bytes": [len(t) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}, out)
 
     return doc_text(docs).mapInArrow(run, SCHEMA)
 

@@ -25,8 +25,8 @@ def test_word_vocabulary(texts):
     count, codec = token_counts.counter(WORD), bpe_codec.codec(WORD)
     for t in texts:
         want = ids(word, t)
-        assert count.count(t or "") == len(want)
-        got = codec.encode(t or "")
+        assert count.count((t or "").encode()) == len(want)
+        got = codec.encode((t or "").encode())
         assert list(np.frombuffer(got, "<u4")) == want
         assert codec.decode(got) == word.decode(want, skip_special_tokens=False)
 
@@ -35,11 +35,29 @@ def test_word_vocabulary(texts):
 @given(st.text(max_size=40))
 def test_any_text(t):
     want = ids(word, t)
-    assert token_counts.counter(WORD).count(t) == len(want)
-    assert list(np.frombuffer(bpe_codec.codec(WORD).encode(t), "<u4")) == want
+    assert token_counts.counter(WORD).count(t.encode()) == len(want)
+    assert list(np.frombuffer(bpe_codec.codec(WORD).encode(t.encode()), "<u4")) == want
     assert list(np.frombuffer(packing.encoder(BYTE).encode(t), "<u4")) == ids(byte, t)
 
 
+def test_every_code_point():
+    """Each one between letters, beside the library; several to a text, which the library cuts at blanks too."""
+    count, codec = token_counts.counter(WORD), bpe_codec.codec(WORD)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 500):
+        t = " ".join(f":{chr(c)}a" for c in points[lo : lo + 500])
+        want = ids(word, t)
+        assert count.count(t.encode()) == len(want)
+        assert np.frombuffer(codec.encode(t.encode()), "<u4").tolist() == want, hex(points[lo])
+
+
+def test_table_begun_anew(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "STATES", 50)
+    own = bpe_codec.Codec(WORD)
+    t = " ".join(odd_texts()[6].split() + ["antidisestablishmentarianism"] * 3)
+    assert np.frombuffer(own.encode(t.encode()), "<u4").tolist() == ids(word, t)
+
+
 def test_automaton_against_plain_merging():
     """Overlapping merges, and a token that no path reaches."""
     a, b, c = 0, 1, 2
