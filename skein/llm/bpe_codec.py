@@ -15,8 +15,8 @@ shorter ends), together with the last token of the path to each place within tha
 the last token of the next prefix, since a token reaches back no further. Its table has a row for
 each (state, symbol) that words have reached; the row is compiled from the gadgets when it is
 first needed, and encoding a word is one look-up for each symbol, followed by one walk back over
-the last tokens. (All words of the vocabulary lead to some 130,000 states; beyond STATES the table
-is begun anew.) Decoding emits the labels of the arcs.
+the last tokens. (The vocabulary's own words lead to some 90,000 states and as many rows; beyond
+STATES rows the table is begun anew.) Decoding emits the labels of the arcs.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; texts of any
 length are read whole; repeated rows give repeated rows; a null doc_id is passed on; extra columns
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -38,21 +38,22 @@ from skein.llm.vocab import Memo, WordVocabulary, default_path
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ENDLESS = 1 << 40
-#: Rows of the table before it is begun anew.
+#: Rows of the table, after which it is begun anew.
 STATES = 400_000
 START = -1
 
 
 class MergeAutomaton:
-    """The automaton of a list of merges; symbols and tokens are identifiers."""
+    """The automaton of a list of merges of tokens, given by identifiers; symbols: the token of each symbol."""
 
-    def __init__(self, merges: list[tuple[int, int, int]], symbols: list[int]) -> None:
+    def __init__(self, merges: list[tuple[int, int, int]], symbols: dict[Hashable, int]) -> None:
+        self.symbols = symbols
         self.removed: dict[tuple[int, int], int] = {}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
-        self.born = dict.fromkeys(symbols, -1)
+        self.born = dict.fromkeys(symbols.values(), -1)
         self.arcs: dict[tuple[int, int], bool] = {}
-        self.spelt = {s: (s,) for s in symbols}  # tokens that no path reaches are left out
+        self.spelt = {t: (s,) for s, t in symbols.items()}  # tokens that no path reaches are left out
         for rank, (a, b, ab) in enumerate(merges):
             self.add(rank, a, b, ab)
         self.length = {t: len(s) for t, s in self.spelt.items()}
@@ -71,7 +72,7 @@ class MergeAutomaton:
     def plant(self) -> None:
         """The tokens' tree: children and depth of each node, its longest proper end that is a
         node too, and the tokens that end there, the longest first."""
-        self.child: list[dict[int, int]] = [{}]
+        self.child: list[dict[Hashable, int]] = [{}]
         self.depth = [0]
         own: dict[int, int] = {}
         for token, symbols in self.spelt.items():
@@ -98,7 +99,7 @@ class MergeAutomaton:
                     below.append(onward)
             level = below
 
-    def onward(self, node: int, symbol: int) -> int:
+    def onward(self, node: int, symbol: Hashable) -> int:
         while (to := self.child[node].get(symbol)) is None:
             if not node:
                 return 0
@@ -108,12 +109,13 @@ class MergeAutomaton:
     def begin(self) -> None:
         """An empty table: the state of the empty string alone."""
         self.arcs.clear()
-        self.table: dict[tuple[int, int], int] = {}
+        self.table: list[dict[Hashable, int]] = [{}]
+        self.rows = 0
         self.state: list[tuple[int, tuple[int, ...]]] = [(0, (START,))]
         self.number = {self.state[0]: 0}
         self.last = [START]
 
-    def compiled(self, state: int, symbol: int) -> int:
+    def compiled(self, state: int, symbol: Hashable) -> int:
         """A row of the table: the state that a symbol leads to."""
         node, lasts = self.state[state]
         node = self.onward(node, symbol)
@@ -127,7 +129,9 @@ class MergeAutomaton:
             to = self.number[new] = len(self.state)
             self.state.append(new)
             self.last.append(t)
-        self.table[state, symbol] = to
+            self.table.append({})
+        self.table[state][symbol] = to
+        self.rows += 1
         return to
 
     def has_arc(self, a: int, b: int) -> bool:
@@ -160,15 +164,14 @@ class MergeAutomaton:
             x_until = self.born[x]
             x = self.right[x]
 
-    def path(self, symbols: list[int]) -> list[int]:
+    def path(self, symbols: Iterable[Hashable]) -> list[int]:
         """The tokens of the one path that spells these symbols."""
-        if len(self.table) > STATES:
+        if self.rows > STATES:
             self.begin()
-        at, lasts, get = 0, [], self.table.get
-        for s in symbols:
-            to = get((at, s))
-            at = self.compiled(at, s) if to is None else to
-            lasts.append(self.last[at])
+        at, lasts, table, last = 0, [], self.table, self.last
+        for s in symbols:  # no symbol leads to state 0
+            at = table[at].get(s) or self.compiled(at, s)
+            lasts.append(last[at])
         out, n, length = [], len(lasts), self.length
         while n:
             t = lasts[n - 1]
@@ -183,16 +186,18 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         self.vocab = WordVocabulary(path)
-        self.automaton = MergeAutomaton(self.vocab.merges, [*self.vocab.symbol.values(), *self.vocab.final_symbol.values()])
+        self.final = {c: c + self.vocab.suffix for c in self.vocab.alphabet}
+        self.automaton = MergeAutomaton(self.vocab.merges, self.vocab.symbol | {self.final[c]: t for c, t in self.vocab.final_symbol.items()})
         self.label = {i: s for s, i in self.vocab.ids.items()} | {i: s.decode() for s, i in self.vocab.special.items()}
+        self.by_word = Memo(self.encode_word)
         self.by_chunk = Memo(self.encode_chunk)
         self.labels = Memo(self.decode_ids)
 
+    def encode_word(self, word: str) -> bytes:
+        return array("I", self.automaton.path([*word[:-1], self.final[word[-1]]])).tobytes()
+
     def encode_chunk(self, chunk: bytes) -> bytes:
-        ids = array("I")
-        for word in self.vocab.words(chunk):
-            ids.extend(self.automaton.path(self.vocab.symbols(word)))
-        return ids.tobytes()
+        return b"".join(map(self.by_word.__getitem__, self.vocab.words(chunk)))
 
     def pieces(self, raw: bytes) -> list[bytes]:
         """The identifiers of the chunks of a text in UTF-8, each as little-endian unsigned 32-bit integers."""

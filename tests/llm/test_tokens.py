@@ -62,7 +62,7 @@ def test_automaton_against_plain_merging():
     """Overlapping merges, and a token that no path reaches."""
     a, b, c = 0, 1, 2
     merges = [(a, a, 3), (a, b, 4), (3, b, 5), (b, c, 6), (4, c, 7), (3, 3, 8)]
-    own = bpe_codec.MergeAutomaton(merges, [a, b, c])
+    own = bpe_codec.MergeAutomaton(merges, {a: a, b: b, c: c})
     rank = {(x, y): (r, z) for r, (x, y, z) in enumerate(merges)}
 
     def plain(s):
