@@ -1,21 +1,31 @@
 """Near-duplicate documents by a chosen-path set similarity join over minwise tokens.
 
-A document's set holds its distinct word shingles. Equal sets form a class, and one node stands
+A document's set holds its distinct word shingles. Equal sets form a class, and one row stands
 for it. In each of several independent trees, nodes branch by the minwise token that a random
 function of the branch's path picks from their sets: sets of similarity s take the same branch
-with probability s. A tree node of few members is compared exhaustively, by sketches; a larger
-one branches on, by two functions, so that similar pairs stay together with a probability that
-hardly falls with the depth. A tree node that doesn't thin out under branching consists of
-similar sets; its members become candidates of one another as a whole.
+with probability s. What becomes of a tree node depends on its members:
 
-Candidates that hang together are then confirmed on full sets: all pairs of a candidate group
-are counted exactly, in blocks of bounded size. Of what they link, only stars leave a task.
+* A node of up to LEAF members is compared exhaustively, by sketches.
+* In a larger one, every member meets the node's representative (a random member). Those that
+  agree with it become its candidates; the others meet WITNESSES of these. If no more than LEAF
+  are left that agree with none, they meet all members, in chunks, and the node ends: a hot node
+  of near copies doesn't branch, and loses no pair.
+* Otherwise all its members branch on, by one function or, for every other node, by two.
+
+Candidates that hang together form groups, which are confirmed on full sets. A group of one block
+has all its pairs counted. In a larger one, each block is counted by itself, together with the
+group's hubs, the members nearest to its most common minwise tokens; this joins most of a group of
+near copies. Only what is not yet joined to the group's largest component meets all other blocks.
+Of what is linked, only stars leave a task.
 
 Recall: a pair of similarity t is missed by one tree with probability of at most 1 - t at the
-first level (0.15 at 0.85) and by all TREES trees with 0.15 ** 12, about 1e-10; below the first
-level, two functions leave a survival of 0.97 a tree, about 1e-8 in all. The sketch comparison
+first level (0.15 at 0.85). Below it, a node branches by 1.5 functions in the mean, so that a pair
+stays together somewhere with a probability of 0.76 or more, however deep the branches (the
+process has a mean of 1.28 children and dies out with 0.24). All TREES trees miss such a pair with
+(1 - 0.85 * 0.76) ** 12, about 4e-6, and with 1e-10 if nothing branches. The sketch comparison
 passes pairs whose 128 functions agree less than expected at the threshold by up to SKETCH_SLACK
-standard deviations, and misses about 1e-7 of the pairs that stand there. Sets and nodes are told apart by 64-bit and 128-bit hashes.
+standard deviations, and misses about 1e-7 of the pairs that stand there. Sets, texts and nodes are
+told apart by 64-bit and 128-bit hashes.
 
 Defined results: a document without words (null, empty, or white space only) has an empty set,
 links with nothing and is its own component. Rows that share a doc_id get the class of their own
@@ -30,8 +40,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skein.llm.common import as_bytes, batches_of, doc_text, saved, sorted_groups, table
 from skein.operators.components import connected_components
@@ -40,15 +51,17 @@ from skein.llm.vocab import Memo
 FUNCTIONS = 128
 TREES = 12
 #: Largest tree node that is compared exhaustively.
-LEAF = 1024
-#: A branch that keeps this share of a large node shows that its sets are similar.
-COHESIVE = 0.5
-DEPTH = 24
+LEAF = 64
+#: Members, besides the representative, that the others in a large tree node meet.
+WITNESSES = 4
+#: Members of a large tree node that one task compares with the few that differ.
+CHUNK = 1024
 #: A candidate pair's sketches may agree less than at the threshold by so many standard deviations.
 SKETCH_SLACK = 5.3
 #: Sets, and their elements, of a block in the exact comparison.
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 4_000_000
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Hubs of a large candidate group, and members that vote on its most common tokens (in the mean).
+HUBS, VOTERS = 4, 256
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 MULTIPLY = _rng.integers(1, 1 << 31, FUNCTIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -116,11 +129,11 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out.T
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("path", pa.list_(pa.int32())), ("sketch", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("path", pa.list_(pa.int32())), ("sketch", pa.binary())])
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Set size, 128-bit key, minwise tokens and their low bytes, for each document."""
+    """Set size, 128-bit key, minwise tokens and their low bytes, for each document. docs: doc_id, text, t1, t2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +143,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             path, sketch = iter(tokens.view(np.int32)), iter(tokens.astype(np.uint8))
             yield batches_of(
                 {
-                    "doc_id": batch.column("doc_id"),
+                    **{k: batch.column(k) for k in ("doc_id", "t1", "t2")},
                     "n_shingles": [len(s) for s in sets],
                     "s1": [k[0] for k in keys],
                     "s2": [k[1] for k in keys],
@@ -140,7 +153,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 SIGNED,
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, path array<int>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n_shingles long, s1 long, s2 long, path array<int>, sketch binary")
 
 
 def _child(j: int):
@@ -155,30 +168,53 @@ def sketch_share(percent: int) -> float:
     return t - SKETCH_SLACK * (t * (1 - t) / FUNCTIONS) ** 0.5
 
 
-def branches(nodes: DataFrame, trees: int, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(tree node, set) pairs of small tree nodes, and links (a, b) within similar large ones.
+def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """(tree node, nid, far) rows in which whatever is far meets all of its node, and candidate links (a, b).
 
-    nodes: nid, path, sketch. Each level counts the members of its tree nodes; those with one
-    member have nothing to compare and end.
+    nodes: nid, path. Each level counts the members of its tree nodes; those with one member have
+    nothing to compare and end.
     """
     first = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.element_at("path", t + 1)))
-    # every level has the same plan, so that Spark compiles it once
-    level = nodes.select("nid", F.explode(first).alias("node"), F.lit(None).cast("long").alias("parent"))
-    small, links = [], []
-    for d in range(1, depth + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("nid").alias("least")).where("n > 1")
+    level = nodes.select("nid", F.explode(first).alias("node"))
+    meet, links = [], []
+    while True:
+        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "nid"), "nid"))["nid"].alias("chosen")).where("n > 1")
         sized = saved(level.join(sizes, "node"))
-        small.append(sized.where(F.col("n") <= leaf).select("node", "nid"))
+        meet.append(sized.where(F.col("n") <= leaf).select("node", "nid", F.lit(True).alias("far")))
         large = sized.where(F.col("n") > leaf)
-        similar = F.coalesce(F.col("n") >= COHESIVE * F.col("parent"), F.lit(False)) | F.lit(d == depth)
-        links.append(large.where(similar).select(F.col("nid").alias("a"), F.col("least").alias("b")))
-        large = large.where(~similar)
         if large.isEmpty():
             break
-        onward = large.join(nodes.select("nid", "path"), "nid")
-        level = onward.select("nid", F.explode(F.array(_child(0), _child(1))).alias("node"), F.col("n").alias("parent"))
+        own = large.join(nodes, "nid")
+        chosen = own.where("nid = chosen").select("node", F.col("path").alias("other"))
+        near = lambda: F.aggregate(F.zip_with("path", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y) >= share * FUNCTIONS
+        judged = saved(own.join(chosen, "node").select("node", "nid", "n", "chosen", (~near()).alias("far")))
+        links.append(judged.where("not far and nid <> chosen").select(F.col("nid").alias("a"), F.col("chosen").alias("b")))
+
+        # the far ones meet some that agree with the representative, and so hang together with it
+        salted = [F.min(F.when(~F.col("far"), F.struct(F.xxhash64("nid", F.lit(i)), "nid")))["nid"] for i in range(1, WITNESSES + 1)]
+        apart = judged.groupBy("node").agg(F.count_if("far").alias("m"), F.array_distinct(F.array(*salted)).alias("witness")).where(F.col("m") > leaf)
+        witness = apart.select("node", F.explode("witness").alias("nid")).join(nodes, "nid").select("node", F.col("nid").alias("by"), F.col("path").alias("other"))
+        reached = judged.where("far").select("node", "nid").join(nodes, "nid").join(witness, "node").where(near()).groupBy("node", "nid").agg(F.min("by").alias("by"))
+        links.append(reached.select(F.col("nid").alias("a"), F.col("by").alias("b")))
+        judged = judged.join(reached, ["node", "nid"], "left").withColumn("far", F.col("far") & F.col("by").isNull()).drop("by")
+
+        counts = judged.groupBy("node").agg(F.count_if("far").alias("m")).where("m > 0")
+        judged = saved(judged.join(counts, "node"))
+        # few differ: they meet every chunk of the others
+        chunks = F.ceil(F.col("n") / CHUNK)
+        places = F.when(F.col("far"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("nid"), chunks)))
+        few = judged.where(F.col("m") <= leaf).select("node", "nid", "far", F.explode(places).alias("chunk"))
+        meet.append(few.select(F.xxhash64("node", F.lit(-1), "chunk").alias("node"), "nid", "far"))
+        onward = judged.where(F.col("m") > leaf).join(nodes, "nid")
+        two = F.when(F.pmod(F.xxhash64("node", F.lit(-2)), F.lit(2)) == 0, F.array(_child(0), _child(1))).otherwise(F.array(_child(0)))
+        level = onward.select("nid", F.explode(two).alias("node"))
     union = lambda frames: reduce(DataFrame.unionByName, frames)
-    return union(small), union(links)
+    return union(meet), union(links or [nodes.select(F.col("nid").alias("a"), F.col("nid").alias("b")).limit(0)])
+
+
+def tasks(spark: SparkSession) -> int:
+    """How many tasks CPU-heavy groups are dealt to, whatever their bytes: the session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -209,19 +245,19 @@ def stars(names: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) ->
 
 
 def compare_leaves(leaves: DataFrame, share: float) -> DataFrame:
-    """Candidate links (a, b) of sets in the same small tree node whose sketches agree enough."""
+    """Candidate links (a, b) of sets in the same tree node, one of them far, whose sketches agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["node"]):
-            node, nid = (group.column(k).to_numpy() for k in ("node", "nid"))
+            node, nid, far = (group.column(k).to_numpy() for k in ("node", "nid", "far"))
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
 
             def pairs():
                 k = 1
                 while True:  # row i against row i + k, as long as they share a tree node
-                    i = np.flatnonzero(node[:-k] == node[k:]) if k < len(node) else ()
-                    if not len(i):
+                    if k >= len(node) or not (together := node[:-k] == node[k:]).any():
                         return
+                    i = np.flatnonzero(together & far[:-k])  # far ones stand first
                     for part in np.array_split(i, len(i) // 20_000 + 1):
                         close = (sketch[part] == sketch[part + k]).sum(axis=1) >= share * FUNCTIONS
                         yield part[close], part[close] + k
@@ -230,7 +266,7 @@ def compare_leaves(leaves: DataFrame, share: float) -> DataFrame:
             a, b = stars(nid, pairs())
             yield batches_of({"a": a, "b": b}, LINK)
 
-    return leaves.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    return leaves.repartition(tasks(leaves.sparkSession), "node").sortWithinPartitions("node", F.desc("far")).mapInArrow(run, "a long, b long")
 
 
 def exact_links(names: np.ndarray, sets: list[np.ndarray], over: int, under: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,57 +300,122 @@ def exact_links(names: np.ndarray, sets: list[np.ndarray], over: int, under: int
     return stars(names, iter([np.nonzero(close)]))
 
 
-def confirm(texts: DataFrame, width: int, over: int, under: int) -> DataFrame:
-    """Links (a, b) within each block pair, enough to join what belongs together. texts: group, i, j, nid, s1, s2, text."""
+def confirm(placed: DataFrame, texts: DataFrame, width: int, over: int, under: int) -> DataFrame:
+    """Links (a, b) within each cell, enough to join what belongs together.
+
+    placed: nid and cells, an array of (group, i, j); texts: nid, text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["group", "i", "j"]):
             key = np.stack([group.column(k).to_numpy() for k in ("group", "i", "j")], axis=1)
             nid = group.column("nid").to_numpy()
-            want = list(zip(group.column("s1").to_pylist(), group.column("s2").to_pylist()))
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             a, b = [], []
             for part in np.split(np.arange(len(nid)), cut):
-                own: dict[int, np.ndarray] = {}
-                for r, text in zip(part.tolist(), as_bytes(group.column("text").slice(part[0], len(part)))):
-                    if int(nid[r]) not in own:
-                        s = shingle_set(text, width)
-                        if set_key(s) == want[r]:  # another row may share the doc_id
-                            own[int(nid[r])] = s
-                if len(own) > 1:
-                    x, y = exact_links(np.array(list(own), np.int64), list(own.values()), over, under)
+                if len(part) > 1:
+                    sets = [shingle_set(t, width) for t in as_bytes(group.column("text").slice(part[0], len(part)))]
+                    x, y = exact_links(nid[part], sets, over, under)
                     a += x.tolist()
                     b += y.tolist()
             yield batches_of({"a": a, "b": b}, LINK)
 
     keys = ["group", "i", "j"]
-    return texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    rows = placed.join(texts, "nid").select(F.explode("cells").alias("c"), "nid", "text").select(*(f"c.{k}" for k in keys), "nid", "text")
+    return rows.repartition(tasks(texts.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def cell(i, j):
+    return F.struct("group", i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+
+def blocks_of(sets, elements) -> Column:
+    return F.ceil(F.greatest(sets / BLOCK_SETS, elements / BLOCK_ELEMENTS)).cast("int")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, trees: int = TREES) -> DataFrame:
+def hubs(member: DataFrame, sketches: DataFrame) -> DataFrame:
+    """group and nid of the HUBS members of each group nearest to its most common tokens. member: group, nid, size."""
+    own = member.join(sketches, "nid").select("group", "nid", "size", "sketch")
+    voters = own.where(F.pmod(F.xxhash64("nid", F.lit(7)), F.ceil(F.col("size") / VOTERS)) == 0)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cast in batch.column("cast").to_pylist():
+                tokens = np.frombuffer(b"".join(cast), np.uint8).reshape(len(cast), FUNCTIONS)
+                out.append(bytes(int(np.bincount(tokens[:, f]).argmax()) for f in range(FUNCTIONS)))
+            yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(out, pa.binary())], names=["group", "common"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, FUNCTIONS) for k in ("sketch", "common")]
+            agree = pa.array((pair[0] == pair[1]).sum(axis=1), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("nid"), agree], names=["group", "nid", "agree"])
+
+    common = voters.groupBy("group").agg(F.collect_list("sketch").alias("cast")).mapInArrow(vote, "group long, common binary")
+    # a group without voters, however unlikely, takes its smallest names
+    judged = own.join(common, "group", "left").select("group", "nid", "sketch", F.coalesce("common", "sketch").alias("common")).mapInArrow(near, "group long, nid long, agree long")
+    best = Window.partitionBy("group").orderBy(F.desc("agree"), "nid")
+    return judged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= HUBS).select("group", "nid")
+
+
+def confirmed(candidates: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what exact comparison joins within the candidate groups.
+
+    candidates: nid and group; classes: nid, n, sketch; texts: nid, text.
+    """
+    member = candidates.join(classes.select("nid", "n"), "nid")
+    sizes = member.groupBy("group").agg(F.count("*").alias("size"), blocks_of(F.count("*"), F.sum("n")).alias("blocks"))
+    member = saved(member.join(sizes, "group"))
+    small = member.where("blocks = 1").select("nid", F.array(cell(F.lit(0), F.lit(0))).alias("cells"))
+    large = member.where("blocks > 1")
+    if large.isEmpty():
+        return confirm(small, texts, width, percent, 100)
+
+    # every block by itself, and the hubs with all of them
+    b = F.pmod(F.xxhash64("nid", F.lit(1)), "blocks").cast("int")
+    chosen = saved(hubs(large.select("group", "nid", "size"), classes.select("nid", "sketch")).withColumn("hub", F.lit(True)))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: cell(x, x))
+    by_block = large.join(chosen, ["group", "nid"], "left").select("nid", F.when(F.col("hub"), every).otherwise(F.array(cell(b, b))).alias("cells"))
+    first = saved(confirm(small.unionByName(by_block), texts, width, percent, 100))
+
+    # what isn't in the group's largest component by now meets all blocks
+    root = connected_components(first).withColumnRenamed("node", "nid")
+    held = large.join(root, "nid", "left").select("nid", "group", "n", F.coalesce("root", "nid").alias("root"))
+    most = held.groupBy("group", "root").agg(F.count("*").alias("k"))
+    most = most.groupBy("group").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
+    held = saved(held.join(most, "group").withColumn("rest", F.col("root") != F.col("main")))
+    split = held.groupBy("group").agg(blocks_of(F.count_if("rest"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0))).alias("br"), blocks_of(F.count_if(~F.col("rest")), F.sum(F.when(F.col("rest"), 0).otherwise(F.col("n")))).alias("bm"))
+    own = held.join(split.where("br > 0"), "group").withColumn("b", F.when(F.col("rest"), F.pmod(F.xxhash64("nid", F.lit(2)), "br")).otherwise(F.col("br") + F.pmod(F.xxhash64("nid", F.lit(2)), "bm")).cast("int"))
+    to = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("br") + F.col("bm")).otherwise(F.col("br")).cast("int") - 1)
+    pairs = F.transform(to, lambda x: cell(F.least(x, "b"), F.greatest(x, "b")))
+    return first.unionByName(confirm(own.select("nid", pairs.alias("cells")), texts, width, percent, 100))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs.
 
     Rows are linked if 100 * intersection >= percent * union of their shingle sets.
     """
-    docs = doc_text(docs)
+    text_key = lambda salt: F.xxhash64(F.lit(salt), F.coalesce("text", F.lit("")))
+    docs = doc_text(docs).withColumns({"t1": text_key(1), "t2": text_key(2)})
     signed = saved(signatures(docs, width))
     some = signed.where("n_shingles > 0")
-    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
-    classes = saved(classes.withColumn("nid", F.col("s1")))
-    small, similar = branches(classes.select("nid", "path"), trees)
-    leaves = small.join(classes.select("nid", "sketch"), "nid")
-    candidates = connected_components(compare_leaves(leaves, sketch_share(percent)).unionByName(similar))
-
-    # all pairs of a candidate group, in blocks: block b of a group meets every block from b on
-    member = candidates.select(F.col("root").alias("group"), F.col("node").alias("nid")).join(classes.select("nid", "s1", "s2", "n", "least"), "nid")
-    blocks = member.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    placed = member.join(blocks, "group").withColumn("b", F.pmod(F.xxhash64("nid", F.lit(1)), "blocks").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "b").alias("i"), F.greatest(x, "b").alias("j")))
-    placed = placed.select("least", "nid", "s1", "s2", "group", pairs.alias("pairs"))
-    texts = placed.join(docs, placed["least"].eqNullSafe(docs["doc_id"])).select("group", F.explode("pairs").alias("p"), "nid", "s1", "s2", "text")
-    links = confirm(texts.select("group", "p.i", "p.j", "nid", "s1", "s2", "text"), width, percent, 100)
-
-    roots = connected_components(links)
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t1", "t2")
+    classes = some.groupBy("s1", "s2").agg(F.min(row).alias("row"), F.first("n_shingles").alias("n"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
+    classes = saved(classes.select("s1", "s2", "n", "path", "sketch", F.col("s1").alias("nid"), F.col("row.doc_id").alias("least"), "row.t1", "row.t2"))
+    meet, links = branches(classes.select("nid", "path"), trees, sketch_share(percent), leaf)
+    leaves = meet.join(classes.select("nid", "sketch"), "nid")
+    candidates = connected_components(compare_leaves(leaves, sketch_share(percent)).unionByName(links))
+    candidates = candidates.select(F.col("node").alias("nid"), F.col("root").alias("group"))
+
+    # one text for each candidate: rows are found by the text's hash and the doc_id, and repeated ones go
+    wanted = candidates.join(classes, "nid").select("nid", "least", F.col("t1").alias("k1"), F.col("t2").alias("k2"))
+    ends = [F.coalesce(c, F.lit(-(1 << 63))) for c in (wanted["least"], docs["doc_id"])]
+    found = wanted.join(docs, (wanted["k1"] == docs["t1"]) & (wanted["k2"] == docs["t2"]) & (ends[0] <= ends[1]) & (ends[0] >= ends[1]))
+    texts = saved(found.select("t1", "t2", "nid", "text").dropDuplicates(["t1", "t2"]).select("nid", "text"))
+
+    roots = connected_components(confirmed(candidates, classes.select("nid", "n", "sketch"), texts, width, percent))
     joined = classes.select("nid", "s1", "s2", "least").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     lowest = joined.groupBy("root").agg(F.min("least").alias("lowest"))
     component = joined.join(lowest, "root").select("s1", "s2", "lowest")

@@ -59,20 +59,33 @@ def test_near_duplicates_at_another_threshold(spark):
 
 
 def test_large_tree_nodes_and_blocks(spark, monkeypatch):
-    """With small limits, the same result comes by deep trees and by pairs of blocks."""
+    """With small limits, the same result comes by deep trees, by chunks, hubs and pairs of blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK_SETS", 16)
-    docs = odd_documents(spark, near_copies(90, 80, 3, 50))
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    monkeypatch.setattr(near_dedup, "VOTERS", 12)
+    common = " ".join(words_of(41, 40))
+    docs = odd_documents(spark, near_copies(60, 80, 3, 50) + near_copies(30, 80, 9, 51) + [common + " " + " ".join(words_of(900 + i, 25 + i % 9)) for i in range(30)])
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = near_groups(rows)
-    signed = near_dedup.signatures(near_dedup.doc_text(docs), 5).where("n_shingles > 0").dropDuplicates(["s1"])
-    small, similar = near_dedup.branches(signed.select(F.col("s1").alias("nid"), "path"), near_dedup.TREES, leaf=8)
-    assert similar.count() > 0 and small.groupBy("node").count().agg(F.max("count")).first()[0] <= 8
-    got = held(near_dedup.near_duplicates(docs))
+    got = held(near_dedup.near_duplicates(docs, leaf=16))
     for i, (doc_id, _) in enumerate(rows):
         n, least = want[i]
         assert got[doc_id, n][0] == (least if n else doc_id)
 
 
+def test_trees_branch_on_the_table(spark):
+    """Unlike sets with common tokens thin out over further levels; hot nodes of near copies end."""
+    docs = near_dedup.doc_text(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64("text")})
+    signed = near_dedup.saved(near_dedup.signatures(docs, 5).where("n_shingles > 0").dropDuplicates(["s1"]).select(F.col("s1").alias("nid"), "path"))
+    n, trees = signed.count(), near_dedup.TREES
+    for leaf in (8, 64):
+        meet, links = near_dedup.branches(signed, trees, near_dedup.sketch_share(85), leaf)
+        assert meet.groupBy("node").agg(F.count_if("far").alias("m")).agg(F.max("m")).first()[0] <= leaf
+        assert meet.count() + links.count() < 4 * trees * n
+        roots = signed.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.element_at("path", t + 1)))).alias("node")).distinct()
+        assert meet.join(roots, "node", "left_anti").count() > 0 or leaf > 8
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(empty_documents(spark)).count() == 0
 
