@@ -6,10 +6,10 @@ function of the branch's path picks from their sets: sets of similarity s take t
 with probability s. What becomes of a tree node depends on its members:
 
 * A node of up to LEAF members is compared exhaustively, by sketches.
-* In a larger one, every member meets the node's representative (a random member). Those that
-  agree with it become its candidates; the others meet WITNESSES of these. If no more than LEAF
-  are left that agree with none, they meet all members, in chunks, and the node ends: a hot node
-  of near copies doesn't branch, and loses no pair.
+* In a larger one, every member meets the node's representative (of some random members, the one
+  with which most of them agree). Those that agree with it become its candidates; the others meet WITNESSES of these. If those that agree
+  with none are no more than LEAF, or a minority of no more than CHUNK, they meet all members, in
+  chunks, and the node ends: a hot node of near copies doesn't branch, and loses no pair.
 * Otherwise all its members branch on, by one function or, for every other node, by two.
 
 Candidates that hang together form groups, which are confirmed on full sets. A group of one block
@@ -52,8 +52,9 @@ FUNCTIONS = 128
 TREES = 12
 #: Largest tree node that is compared exhaustively.
 LEAF = 64
-#: Members, besides the representative, that the others in a large tree node meet.
-WITNESSES = 4
+#: Random members of a large tree node of which one becomes its representative, and members, besides
+#: it, that those unlike it meet.
+SAMPLES, WITNESSES = 6, 4
 #: Members of a large tree node that one task compares with the few that differ.
 CHUNK = 1024
 #: A candidate pair's sketches may agree less than at the threshold by so many standard deviations.
@@ -168,6 +169,15 @@ def sketch_share(percent: int) -> float:
     return t - SKETCH_SLACK * (t * (1 - t) / FUNCTIONS) ** 0.5
 
 
+def _lowest(nid: Column, salt: int) -> Column:
+    """A random one of the names that aren't null."""
+    return F.min(F.when(nid.isNotNull(), F.struct(F.xxhash64(nid, F.lit(salt)), nid.alias("nid"))))["nid"]
+
+
+def _agree(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+
+
 def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """(tree node, nid, far) rows in which whatever is far meets all of its node, and candidate links (a, b).
 
@@ -178,23 +188,26 @@ def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tu
     level = nodes.select("nid", F.explode(first).alias("node"))
     meet, links = [], []
     while True:
-        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "nid"), "nid"))["nid"].alias("chosen")).where("n > 1")
+        sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = saved(level.join(sizes, "node"))
         meet.append(sized.where(F.col("n") <= leaf).select("node", "nid", F.lit(True).alias("far")))
         large = sized.where(F.col("n") > leaf)
         if large.isEmpty():
             break
-        own = large.join(nodes, "nid")
-        chosen = own.where("nid = chosen").select("node", F.col("path").alias("other"))
-        near = lambda: F.aggregate(F.zip_with("path", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y) >= share * FUNCTIONS
-        judged = saved(own.join(chosen, "node").select("node", "nid", "n", "chosen", (~near()).alias("far")))
+        # of some random members, the one with which most of them agree
+        some = large.groupBy("node").agg(F.array_distinct(F.array(*(_lowest(F.col("nid"), i) for i in range(SAMPLES)))).alias("nid"))
+        some = some.select("node", F.explode("nid").alias("nid")).join(nodes, "nid").groupBy("node").agg(F.collect_list(F.struct("nid", "path")).alias("some"))
+        scored = F.transform("some", lambda x: F.struct(F.size(F.filter("some", lambda y: _agree(x["path"], y["path"]) >= share * FUNCTIONS)).alias("k"), x["nid"].alias("nid"), x["path"].alias("path")))
+        chosen = some.select("node", F.array_max(scored).alias("c")).select("node", F.col("c.nid").alias("chosen"), F.col("c.path").alias("other"))
+        near = _agree(F.col("path"), F.col("other")) >= share * FUNCTIONS
+        judged = saved(large.join(nodes, "nid").join(chosen, "node").select("node", "nid", "n", "chosen", (~near).alias("far")))
         links.append(judged.where("not far and nid <> chosen").select(F.col("nid").alias("a"), F.col("chosen").alias("b")))
 
         # the far ones meet some that agree with the representative, and so hang together with it
-        salted = [F.min(F.when(~F.col("far"), F.struct(F.xxhash64("nid", F.lit(i)), "nid")))["nid"] for i in range(1, WITNESSES + 1)]
+        salted = [_lowest(F.when(~F.col("far"), F.col("nid")), SAMPLES + i) for i in range(WITNESSES)]
         apart = judged.groupBy("node").agg(F.count_if("far").alias("m"), F.array_distinct(F.array(*salted)).alias("witness")).where(F.col("m") > leaf)
         witness = apart.select("node", F.explode("witness").alias("nid")).join(nodes, "nid").select("node", F.col("nid").alias("by"), F.col("path").alias("other"))
-        reached = judged.where("far").select("node", "nid").join(nodes, "nid").join(witness, "node").where(near()).groupBy("node", "nid").agg(F.min("by").alias("by"))
+        reached = judged.where("far").select("node", "nid").join(nodes, "nid").join(witness, "node").where(near).groupBy("node", "nid").agg(F.min("by").alias("by"))
         links.append(reached.select(F.col("nid").alias("a"), F.col("by").alias("b")))
         judged = judged.join(reached, ["node", "nid"], "left").withColumn("far", F.col("far") & F.col("by").isNull()).drop("by")
 
@@ -203,9 +216,10 @@ def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tu
         # few differ: they meet every chunk of the others
         chunks = F.ceil(F.col("n") / CHUNK)
         places = F.when(F.col("far"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("nid"), chunks)))
-        few = judged.where(F.col("m") <= leaf).select("node", "nid", "far", F.explode(places).alias("chunk"))
+        ends = (F.col("m") <= leaf) | ((F.col("m") <= CHUNK) & (2 * F.col("m") < F.col("n")))
+        few = judged.where(ends).select("node", "nid", "far", F.explode(places).alias("chunk"))
         meet.append(few.select(F.xxhash64("node", F.lit(-1), "chunk").alias("node"), "nid", "far"))
-        onward = judged.where(F.col("m") > leaf).join(nodes, "nid")
+        onward = judged.where(~ends).join(nodes, "nid")
         two = F.when(F.pmod(F.xxhash64("node", F.lit(-2)), F.lit(2)) == 0, F.array(_child(0), _child(1))).otherwise(F.array(_child(0)))
         level = onward.select("nid", F.explode(two).alias("node"))
     union = lambda frames: reduce(DataFrame.unionByName, frames)
