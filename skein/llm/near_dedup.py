@@ -157,10 +157,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n_shingles long, s1 long, s2 long, path array<int>, sketch binary")
 
 
-def _child(j: int):
-    """The j-th branch of a tree node: its path picks a function, the set's minwise token the child."""
+def _child(j: int) -> Column:
+    """The j-th branch of a tree node: its path picks a function, the low byte of the set's minwise token the child."""
     function = F.pmod(F.xxhash64("node", F.lit(j)), F.lit(FUNCTIONS)).cast("int")
-    return F.xxhash64("node", F.lit(j), F.element_at("path", function + 1))
+    return F.xxhash64("node", F.lit(j), F.substring("sketch", function + 1, F.lit(1)))
 
 
 def sketch_share(percent: int) -> float:
@@ -169,23 +169,55 @@ def sketch_share(percent: int) -> float:
     return t - SKETCH_SLACK * (t * (1 - t) / FUNCTIONS) ** 0.5
 
 
-def _lowest(nid: Column, salt: int) -> Column:
-    """A random one of the names that aren't null."""
-    return F.min(F.when(nid.isNotNull(), F.struct(F.xxhash64(nid, F.lit(salt)), nid.alias("nid"))))["nid"]
+def _lowest(test: Column, salt: int) -> Column:
+    """A random one of the members that pass a test, with its sketch."""
+    return F.min(F.when(test, F.struct(F.xxhash64("nid", F.lit(salt)).alias("h"), "nid", "sketch")))
 
 
-def _agree(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+def tokens_of(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, FUNCTIONS)
+
+
+def judged_against(pairs: DataFrame, share: float) -> DataFrame:
+    """Whether `sketch` and `other` agree, as `near` in place of `other`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = (tokens_of(batch.column(k).to_pylist()) for k in ("sketch", "other"))
+            near = pa.array((own == other).sum(axis=1) >= share * FUNCTIONS)
+            rest = [k for k in batch.schema.names if k != "other"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), near], names=[*rest, "near"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name != "other")
+    return pairs.mapInArrow(run, types + ", near boolean")
+
+
+def most_central(some: DataFrame, share: float) -> DataFrame:
+    """Of a few members of each node (an array of nid and sketch), the one with which most agree: node, chosen, other."""
+    out = pa.schema([("node", pa.int64()), ("chosen", pa.int64()), ("other", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen, other = [], []
+            for few in batch.column("some").to_pylist():
+                t = tokens_of([x["sketch"] for x in few])
+                best = int(((t[:, None] == t[None]).sum(axis=2) >= share * FUNCTIONS).sum(axis=1).argmax())
+                chosen.append(few[best]["nid"])
+                other.append(few[best]["sketch"])
+            yield batches_of({"node": batch.column("node"), "chosen": chosen, "other": other}, out)
+
+    return some.mapInArrow(run, "node long, chosen long, other binary")
 
 
 def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """(tree node, nid, far) rows in which whatever is far meets all of its node, and candidate links (a, b).
 
-    nodes: nid, path. Each level counts the members of its tree nodes; those with one member have
-    nothing to compare and end.
+    nodes: nid, path, sketch. Each level counts the members of its tree nodes; those with one
+    member have nothing to compare and end. Members of large nodes carry their sketches along.
     """
     first = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.element_at("path", t + 1)))
     level = nodes.select("nid", F.explode(first).alias("node"))
+    sketches = nodes.select("nid", "sketch")
     meet, links = [], []
     while True:
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -194,34 +226,33 @@ def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tu
         large = sized.where(F.col("n") > leaf)
         if large.isEmpty():
             break
+        if "sketch" not in large.columns:
+            large = saved(large.join(sketches, "nid"))
+
         # of some random members, the one with which most of them agree
-        some = large.groupBy("node").agg(F.array_distinct(F.array(*(_lowest(F.col("nid"), i) for i in range(SAMPLES)))).alias("nid"))
-        some = some.select("node", F.explode("nid").alias("nid")).join(nodes, "nid").groupBy("node").agg(F.collect_list(F.struct("nid", "path")).alias("some"))
-        scored = F.transform("some", lambda x: F.struct(F.size(F.filter("some", lambda y: _agree(x["path"], y["path"]) >= share * FUNCTIONS)).alias("k"), x["nid"].alias("nid"), x["path"].alias("path")))
-        chosen = some.select("node", F.array_max(scored).alias("c")).select("node", F.col("c.nid").alias("chosen"), F.col("c.path").alias("other"))
-        near = _agree(F.col("path"), F.col("other")) >= share * FUNCTIONS
-        judged = saved(large.join(nodes, "nid").join(chosen, "node").select("node", "nid", "n", "chosen", (~near).alias("far")))
+        some = large.groupBy("node").agg(F.array_distinct(F.transform(F.array(*(_lowest(F.lit(True), i) for i in range(SAMPLES))), lambda x: F.struct(x["nid"].alias("nid"), x["sketch"].alias("sketch")))).alias("some"))
+        chosen = most_central(some, share)
+        judged = saved(judged_against(large.join(chosen, "node").select("node", "nid", "n", "chosen", "sketch", "other"), share).withColumn("far", ~F.col("near")).drop("near"))
         links.append(judged.where("not far and nid <> chosen").select(F.col("nid").alias("a"), F.col("chosen").alias("b")))
 
         # the far ones meet some that agree with the representative, and so hang together with it
-        salted = [_lowest(F.when(~F.col("far"), F.col("nid")), SAMPLES + i) for i in range(WITNESSES)]
-        apart = judged.groupBy("node").agg(F.count_if("far").alias("m"), F.array_distinct(F.array(*salted)).alias("witness")).where(F.col("m") > leaf)
-        witness = apart.select("node", F.explode("witness").alias("nid")).join(nodes, "nid").select("node", F.col("nid").alias("by"), F.col("path").alias("other"))
-        reached = judged.where("far").select("node", "nid").join(nodes, "nid").join(witness, "node").where(near).groupBy("node", "nid").agg(F.min("by").alias("by"))
-        links.append(reached.select(F.col("nid").alias("a"), F.col("by").alias("b")))
-        judged = judged.join(reached, ["node", "nid"], "left").withColumn("far", F.col("far") & F.col("by").isNull()).drop("by")
-
-        counts = judged.groupBy("node").agg(F.count_if("far").alias("m")).where("m > 0")
-        judged = saved(judged.join(counts, "node"))
+        salted = F.array_compact(F.array(*(_lowest(~F.col("far"), SAMPLES + i) for i in range(WITNESSES))))
+        apart = judged.groupBy("node").agg(F.count_if("far").alias("m"), salted.alias("w")).where(F.col("m") > leaf)
+        witness = apart.select("node", F.explode("w").alias("w")).select("node", F.col("w.nid").alias("by"), F.col("w.sketch").alias("other")).distinct()
+        meetings = judged.where("far").select("node", "nid", "sketch").join(witness, "node")
+        reached = judged_against(meetings, share).where("near").groupBy("node", "nid").agg(F.min("by").alias("by"))
+        judged = saved(judged.join(reached, ["node", "nid"], "left").withColumn("far", F.col("far") & F.col("by").isNull()))
+        links.append(judged.where("by is not null").select(F.col("nid").alias("a"), F.col("by").alias("b")))
+
+        rest = judged.join(judged.groupBy("node").agg(F.count_if("far").alias("m")).where("m > 0"), "node")
         # few differ: they meet every chunk of the others
         chunks = F.ceil(F.col("n") / CHUNK)
         places = F.when(F.col("far"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("nid"), chunks)))
         ends = (F.col("m") <= leaf) | ((F.col("m") <= CHUNK) & (2 * F.col("m") < F.col("n")))
-        few = judged.where(ends).select("node", "nid", "far", F.explode(places).alias("chunk"))
+        few = rest.where(ends).select("node", "nid", "far", F.explode(places).alias("chunk"))
         meet.append(few.select(F.xxhash64("node", F.lit(-1), "chunk").alias("node"), "nid", "far"))
-        onward = judged.where(~ends).join(nodes, "nid")
         two = F.when(F.pmod(F.xxhash64("node", F.lit(-2)), F.lit(2)) == 0, F.array(_child(0), _child(1))).otherwise(F.array(_child(0)))
-        level = onward.select("nid", F.explode(two).alias("node"))
+        level = rest.where(~ends).select("nid", "sketch", F.explode(two).alias("node"))
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     return union(meet), union(links or [nodes.select(F.col("nid").alias("a"), F.col("nid").alias("b")).limit(0)])
 
@@ -418,7 +449,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, trees: i
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t1", "t2")
     classes = some.groupBy("s1", "s2").agg(F.min(row).alias("row"), F.first("n_shingles").alias("n"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
     classes = saved(classes.select("s1", "s2", "n", "path", "sketch", F.col("s1").alias("nid"), F.col("row.doc_id").alias("least"), "row.t1", "row.t2"))
-    meet, links = branches(classes.select("nid", "path"), trees, sketch_share(percent), leaf)
+    meet, links = branches(classes.select("nid", "path", "sketch"), trees, sketch_share(percent), leaf)
     leaves = meet.join(classes.select("nid", "sketch"), "nid")
     candidates = connected_components(compare_leaves(leaves, sketch_share(percent)).unionByName(links))
     candidates = candidates.select(F.col("node").alias("nid"), F.col("root").alias("group"))

@@ -76,7 +76,7 @@ def test_large_tree_nodes_and_blocks(spark, monkeypatch):
 def test_trees_branch_on_the_table(spark):
     """Unlike sets with common tokens thin out over further levels; hot nodes of near copies end."""
     docs = near_dedup.doc_text(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64("text")})
-    signed = near_dedup.saved(near_dedup.signatures(docs, 5).where("n_shingles > 0").dropDuplicates(["s1"]).select(F.col("s1").alias("nid"), "path"))
+    signed = near_dedup.saved(near_dedup.signatures(docs, 5).where("n_shingles > 0").dropDuplicates(["s1"]).select(F.col("s1").alias("nid"), "path", "sketch"))
     n, trees = signed.count(), near_dedup.TREES
     for leaf in (8, 64):
         meet, links = near_dedup.branches(signed, trees, near_dedup.sketch_share(85), leaf)
