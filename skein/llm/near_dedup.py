@@ -5,10 +5,11 @@ for it. In each of several independent trees, nodes branch by the minwise token
 function of the branch's path picks from their sets: sets of similarity s take the same branch
 with probability s. What becomes of a tree node depends on its members:
 
-* A node of up to LEAF members is compared exhaustively, by sketches.
+* A node of up to LEAF members (twice as many with each level, up to LARGEST_LEAF) is compared
+  exhaustively, by sketches.
 * In a larger one, every member meets the node's representative (of some random members, the one
   with which most of them agree). Those that agree with it become its candidates; the others meet WITNESSES of these. If those that agree
-  with none are no more than LEAF, or a minority of no more than CHUNK, they meet all members, in
+  with none are no more than that, or a minority of no more than CHUNK, they meet all members, in
   chunks, and the node ends: a hot node of near copies doesn't branch, and loses no pair.
 * Otherwise all its members branch on, by one function or, for every other node, by two.
 
@@ -37,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +52,9 @@ from skein.llm.vocab import Memo
 
 FUNCTIONS = 128
 TREES = 12
-#: Largest tree node that is compared exhaustively.
-LEAF = 64
+#: Largest tree node that is compared exhaustively: at the first level, and at any. The limit doubles
+#: with each level, so that nodes which hardly thin out end after some levels too.
+LEAF, LARGEST_LEAF = 64, 4096
 #: Random members of a large tree node of which one becomes its representative, and members, besides
 #: it, that those unlike it meet.
 SAMPLES, WITNESSES = 6, 4
@@ -219,11 +222,12 @@ def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tu
     level = nodes.select("nid", F.explode(first).alias("node"))
     sketches = nodes.select("nid", "sketch")
     meet, links = [], []
-    while True:
+    for depth in count():
+        limit = max(leaf, min(leaf << depth, LARGEST_LEAF))
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = saved(level.join(sizes, "node"))
-        meet.append(sized.where(F.col("n") <= leaf).select("node", "nid", F.lit(True).alias("far")))
-        large = sized.where(F.col("n") > leaf)
+        meet.append(sized.where(F.col("n") <= limit).select("node", "nid", F.lit(True).alias("far")))
+        large = sized.where(F.col("n") > limit)
         if large.isEmpty():
             break
         if "sketch" not in large.columns:
@@ -233,23 +237,21 @@ def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tu
         some = large.groupBy("node").agg(F.array_distinct(F.transform(F.array(*(_lowest(F.lit(True), i) for i in range(SAMPLES))), lambda x: F.struct(x["nid"].alias("nid"), x["sketch"].alias("sketch")))).alias("some"))
         chosen = most_central(some, share)
         judged = saved(judged_against(large.join(chosen, "node").select("node", "nid", "n", "chosen", "sketch", "other"), share).withColumn("far", ~F.col("near")).drop("near"))
-        links.append(judged.where("not far and nid <> chosen").select(F.col("nid").alias("a"), F.col("chosen").alias("b")))
 
         # the far ones meet some that agree with the representative, and so hang together with it
         salted = F.array_compact(F.array(*(_lowest(~F.col("far"), SAMPLES + i) for i in range(WITNESSES))))
-        apart = judged.groupBy("node").agg(F.count_if("far").alias("m"), salted.alias("w")).where(F.col("m") > leaf)
+        apart = judged.groupBy("node").agg(F.count_if("far").alias("m"), salted.alias("w")).where(F.col("m") > limit)
         witness = apart.select("node", F.explode("w").alias("w")).select("node", F.col("w.nid").alias("by"), F.col("w.sketch").alias("other")).distinct()
         meetings = judged.where("far").select("node", "nid", "sketch").join(witness, "node")
         reached = judged_against(meetings, share).where("near").groupBy("node", "nid").agg(F.min("by").alias("by"))
-        judged = saved(judged.join(reached, ["node", "nid"], "left").withColumn("far", F.col("far") & F.col("by").isNull()))
-        links.append(judged.where("by is not null").select(F.col("nid").alias("a"), F.col("by").alias("b")))
-
-        rest = judged.join(judged.groupBy("node").agg(F.count_if("far").alias("m")).where("m > 0"), "node")
+        judged = judged.join(reached, ["node", "nid"], "left").withColumn("far", F.col("far") & F.col("by").isNull())
+        rest = saved(judged.join(judged.groupBy("node").agg(F.count_if("far").alias("m")), "node"))
+        links.append(rest.where("not far and nid <> chosen").select(F.col("nid").alias("a"), F.coalesce("by", "chosen").alias("b")))
         # few differ: they meet every chunk of the others
         chunks = F.ceil(F.col("n") / CHUNK)
         places = F.when(F.col("far"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("nid"), chunks)))
-        ends = (F.col("m") <= leaf) | ((F.col("m") <= CHUNK) & (2 * F.col("m") < F.col("n")))
-        few = rest.where(ends).select("node", "nid", "far", F.explode(places).alias("chunk"))
+        ends = (F.col("m") <= limit) | ((F.col("m") <= CHUNK) & (2 * F.col("m") < F.col("n")))
+        few = rest.where("m > 0").where(ends).select("node", "nid", "far", F.explode(places).alias("chunk"))
         meet.append(few.select(F.xxhash64("node", F.lit(-1), "chunk").alias("node"), "nid", "far"))
         two = F.when(F.pmod(F.xxhash64("node", F.lit(-2)), F.lit(2)) == 0, F.array(_child(0), _child(1))).otherwise(F.array(_child(0)))
         level = rest.where(~ends).select("nid", "sketch", F.explode(two).alias("node"))
