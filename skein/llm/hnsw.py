@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard, in flat arrays.
 
-Vectors are dealt to shards of bounded size by a hash. Each shard builds a hierarchy of graphs
-and stores it as a row: the vectors, the level of each, and the neighbours of all levels in one
-flat array with offsets. A query set is cut into blocks; each block meets each shard once, and
-the shards' nearest are merged to the nearest of all by exact distance.
+Vectors are dealt to shards by a hash: as many as there are tasks, but of no more than SHARD
+vectors, and of SMALL at least. Each shard builds a hierarchy of graphs and stores it as a row: the
+vectors, the level of each, and the neighbours of all levels in one flat array with offsets. For a
+search, queries travel to the shards, in blocks; a task reads one graph and streams its blocks past
+it. If there are fewer shards than tasks, several tasks share out the blocks of a shard. The
+shards' nearest are merged to the nearest of all by exact distance.
 
 Equal vectors are one entry with the smallest ids that a result can need, so that large groups
 of copies neither crowd a graph nor a task.
@@ -12,6 +14,7 @@ Defined results: vectors that are null, empty, zero or hold null or non-finite c
 no part, nor do rows without vec_id; nor vectors whose length differs from the most common one
 (the smaller, if tied). Ties in distance go to the smaller vec_id. Rows that repeat an id with
 the same vector count once. With fewer candidates than asked for, all reachable ones come back.
+Columns other than the id and the vector aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql.window import Window
 
 from skein.llm.common import saved, sorted_groups, table
 
-SHARD = 4096
+SHARD, SMALL = 100_000, 4096
 QUERY_BLOCK = 1024
 #: Links of an entry on a level (twice that on the lowest), and candidates kept while building and searching.
 LINKS, BUILD, SEARCH = 16, 64, 96
@@ -184,14 +187,20 @@ def clean(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return own.where(F.size("v") == (size["n"] if size else 0))
 
 
-def build_index(own: DataFrame, keep: int, shard: int = SHARD) -> DataFrame:
-    """A row for each shard (INDEX). own: id, v; keep: ids that are kept of equal vectors."""
+def tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def build_index(own: DataFrame, keep: int, shard: int | None = None) -> DataFrame:
+    """A row for each shard (INDEX). own: id, v; keep: ids that are kept of equal vectors; shard:
+    vectors of a shard, if they aren't to follow from the number of tasks."""
     rank = Window.partitionBy("v").orderBy("id")
     single = own.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).distinct()  # repeats must not use up places
     few = single.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= keep)
     entries = few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     entries = saved(entries)
-    shards = max(1, -(-entries.count() // shard))
+    n = entries.count()
+    shards = max(1, -(-n // (shard or min(SHARD, max(SMALL, -(-n // tasks(own.sparkSession)))))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["shard"]):
@@ -208,7 +217,7 @@ def build_index(own: DataFrame, keep: int, shard: int = SHARD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=["shard", "n", "dim", "ids", "vectors", "levels", "offsets", "neighbours"])
 
     dealt = entries.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "ids", "v")
-    return saved(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, INDEX))
+    return saved(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, INDEX))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, width: int = SEARCH) -> DataFrame:
@@ -216,27 +225,37 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, width: int = SEARC
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
+        graph = None
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            if row["queries"] is not None and graph is None:
+                continue  # an empty index
+            if row["queries"] is None:  # a shard stands before its queries
                 x = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"])
                 graph = Graph.from_flat(x.astype(np.float32), np.frombuffer(row["levels"], np.int32), np.frombuffer(row["offsets"], np.int64), np.frombuffer(row["neighbours"], np.int32))
-                q, v, d = [], [], []
-                for query in row["queries"]:
-                    own = np.array(query["v"], np.float64)
-                    if len(own) != row["dim"]:
-                        continue
-                    found = graph.nearest(own.astype(np.float32), width)
-                    gap = np.sqrt(((x[found] - own) ** 2).sum(axis=1))
-                    pairs = sorted((g, i) for g, at in zip(gap.tolist(), found) for i in row["ids"][at] if i != query["id"])[:k]
-                    q += [query["id"]] * len(pairs)
-                    d += [g for g, _ in pairs]
-                    v += [i for _, i in pairs]
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64())], schema=out)
-
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    blocks = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    pairs = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")).join(blocks, "block").join(index, "shard")
-    found = pairs.repartition(F.col("shard"), F.col("block")).mapInArrow(run, "query_id long, vec_id long, score double")
+                ids = row["ids"]
+                continue
+            q, v, d = [], [], []
+            for query in row["queries"]:
+                own = np.array(query["v"], np.float64)
+                if len(own) != x.shape[1]:
+                    continue
+                found = graph.nearest(own.astype(np.float32), width)
+                gap = np.sqrt(((x[found] - own) ** 2).sum(axis=1))
+                pairs = sorted((g, i) for g, at in zip(gap.tolist(), found) for i in ids[at] if i != query["id"])[:k]
+                q += [query["id"]] * len(pairs)
+                d += [g for g, _ in pairs]
+                v += [i for _, i in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64())], schema=out)
+
+    blocks_n = max(1, -(-queries.count() // QUERY_BLOCK))
+    shards = max(1, index.select("shard").count())
+    parts = min(blocks_n, max(1, tasks(index.sparkSession) // shards))  # tasks that share a shard
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    graphs = index.withColumns({"part": numbers(parts), "block": F.lit(-1), "queries": F.lit(None).cast("array<struct<id: bigint, v: array<double>>>")})
+    blocks = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks_n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    sent = blocks.withColumn("shard", numbers(shards)).withColumn("part", F.pmod("block", F.lit(parts)))
+    both = graphs.unionByName(sent, allowMissingColumns=True).withColumn("slot", F.col("shard") * parts + F.col("part"))
+    found = both.repartitionById(shards * parts, "slot").sortWithinPartitions("slot", "block").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -131,16 +131,30 @@ def test_repeated_rows_use_up_no_places(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(i, 0.0) for i in range(1, 12) if i != 3]
 
 
-def test_recall(spark):
-    import numpy as np
-
+@pytest.mark.parametrize("folder, shard", [(SF, None), ("/root/testdata/sf0.1", 256)])
+def test_recall(spark, folder, shard):
+    """Against brute force, with one shard and with several."""
+    own = hnsw.clean(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding")
+    index = hnsw.build_index(own, 11, shard)
+    assert index.count() > 4 or shard is None
     got: dict = {}
-    for r in hnsw.op4_hnsw(spark, SF).collect():
+    for r in hnsw.search(index, own.where("id % 100 = 0").distinct()).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
-    x, ids = np.stack([v for _, v in rows]), np.array([i for i, _ in rows])
-    hit = sum(len(got[q] & set(ids[[i for i in np.lexsort((ids, ((x - x[ids == q]) ** 2).sum(1))) if ids[i] != q][:10]].tolist())) for q in got)
-    assert len(got) == (ids % 100 == 0).sum() and hit >= 0.9 * 10 * len(got)
+    rows = own.collect()
+    x, ids = np.array([r["v"] for r in rows]), np.array([r["id"] for r in rows])
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        gap = ((x - x[q]) ** 2).sum(axis=1)
+        best = [int(ids[k]) for k in np.lexsort((ids, gap)) if k != q][:10]
+        hits, total = hits + len(set(best) & got[int(ids[q])]), total + len(best)
+    assert total >= 50 and hits >= 0.95 * total
+
+
+def test_other_columns_of_vectors(spark):
+    rows = [(i, [1.0 * i, 1.0, 2.0], "x", 3) for i in range(1, 30)]
+    own = hnsw.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string, rank int"), "vec_id", "embedding")
+    got = hnsw.search(hnsw.build_index(own, 11), own.where("id = 10")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got[:2]] == [9, 11] and [r["rank"] for r in got] == list(range(1, 11))
 
 
 def test_no_vectors(spark):
