@@ -26,6 +26,18 @@ def numeric_id(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
 
 
+def id_key(text: Column) -> Column:
+    """The long under which an id given as text is kept: its number, or a hash of any other text."""
+    return F.when(text.isNotNull(), F.coalesce(numeric_id(text), F.xxhash64(text)))
+
+
+def key_of(i) -> int | Column:
+    """The same for an id given to a step."""
+    if isinstance(i, int) and -(1 << 63) <= i < 1 << 63:
+        return i
+    return id_key(F.lit(str(i)))
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """Frames by label. ends: for an edge label, the labels of its sources and its targets."""
@@ -72,12 +84,12 @@ class PropertyGraph:
     # --- starts ---
 
     def V(self, *ids, labels: Iterable[str] | None = None):
-        """All vertices, or those of the given ids. V(None) has no result."""
+        """All vertices, or those of the given ids, numbers or texts. V(None) has no result."""
         from skein.operators.traversal import Traversal
 
         frame = self.vertex_frame(labels)
         if ids:
-            frame = frame.where(F.col("id").isin([int(i) for i in ids if i is not None and str(i).lstrip("+-").isdigit()]))
+            frame = frame.where(F.col("id").isin([key_of(i) for i in ids if i is not None]))
         return Traversal(self, frame, "vertex", labels=tuple(labels) if labels else None, loaded=True)
 
     def E(self, *ids, labels: Iterable[str] | None = None):
@@ -86,7 +98,7 @@ class PropertyGraph:
 
         frame = self.edge_frame(labels)
         if ids:
-            frame = frame.where(F.col("id").isin([i for i in ids if i is not None]))
+            frame = frame.where(F.col("id").isin([key_of(i) for i in ids if i is not None]))
         return Traversal(self, frame, "edge", labels=tuple(labels) if labels else None, loaded=True)
 
     def inject(self, *values):

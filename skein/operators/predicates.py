@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ class P:
     """A test of a column; combine with &, | and ~."""
 
     test: Callable[[Column], Column]
+    #: Of a comparison: the operator and what it compares with, which `where` takes as a mark.
+    pair: tuple[Callable[[Any, Any], Column], Any] | None = None
 
     def __call__(self, c: Column) -> Column:
         """Null for a null, which a filter takes as false: so it can be pushed into a scan."""
@@ -32,27 +36,27 @@ class P:
 
     @staticmethod
     def eq(x) -> P:
-        return P(lambda c: c == x)
+        return P(lambda c: c == x, (operator.eq, x))
 
     @staticmethod
     def neq(x) -> P:
-        return P(lambda c: c != x)
+        return P(lambda c: c != x, (operator.ne, x))
 
     @staticmethod
     def lt(x) -> P:
-        return P(lambda c: c < x)
+        return P(lambda c: c < x, (operator.lt, x))
 
     @staticmethod
     def lte(x) -> P:
-        return P(lambda c: c <= x)
+        return P(lambda c: c <= x, (operator.le, x))
 
     @staticmethod
     def gt(x) -> P:
-        return P(lambda c: c > x)
+        return P(lambda c: c > x, (operator.gt, x))
 
     @staticmethod
     def gte(x) -> P:
-        return P(lambda c: c >= x)
+        return P(lambda c: c >= x, (operator.ge, x))
 
     @staticmethod
     def between(lo, hi) -> P:

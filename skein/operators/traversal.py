@@ -4,8 +4,8 @@ A row is a traverser. Its current object stands in `id` (a vertex; its label and
 joined only once a step reads them), in id, src, dst, label and properties (an edge), in `value`
 (a scalar), or in named columns (a map). Columns that start with an underscore travel along:
 `_n` the multiplicity, `_as_x` marked objects, `_ids` and `_path` the way so far, `_sack`, `_from`
-the vertex that an edge was reached from, `_key1`, `_key2`… the object that an inner traversal
-belongs to.
+the vertex that an edge was reached from, `_ord0`, `_ord1`… what the stream is ordered by, `_key1`,
+`_key2`… the object that an inner traversal belongs to.
 
 Inner traversals are functions of a Traversal (or made with `__`). They run once over the
 distinct objects of the outer stream, all at the same time, and are joined back by the object:
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.graph import EDGE_KEYS, PropertyGraph, union_all
+from skein.graph import EDGE_KEYS, PropertyGraph, key_of, union_all
 from skein.operators.lineage import saved
 from skein.operators.predicates import P, as_predicate
 
@@ -67,8 +67,9 @@ class Traversal:
     keys: tuple[str, ...] = ()  # of the inner traversals that this one is part of
     starts: DataFrame | None = None  # all keys of the innermost
     stores: dict[str, Traversal] = field(default_factory=dict)
-    by_path: str | None = None
-    ordering: tuple[tuple[Column, bool], ...] = ()  # columns and whether they fall, as order() left them
+    by_path: tuple[Any, ...] | None = None  # what path() shows of each object in turn
+    passed: int = 0  # objects on the way so far
+    ordering: tuple[tuple[str, bool], ...] = ()  # travelling columns that order() made, and whether they fall
 
     # --- basics ---
 
@@ -89,7 +90,9 @@ class Traversal:
         return [c for c in self.df.columns if not c.startswith(("_", "~"))]
 
     def _on(self, df: DataFrame, kind: str | None = None, **other: Any) -> Traversal:
-        return replace(self, df=df, kind=kind or self.kind, **{"ordering": (), **other})
+        if "ordering" not in other and not {c for c, _ in self.ordering} <= set(df.columns):
+            other["ordering"] = ()
+        return replace(self, df=df, kind=kind or self.kind, **other)
 
     def _value(self, column: Column) -> Traversal:
         return self._on(self.df.select(*self.travelling, column.alias("value")), "value", labels=None, loaded=True)
@@ -152,23 +155,30 @@ class Traversal:
         return self._on(self.df.join(hits, self._ident() == hits[key], how))
 
     def _joined(self, inner: Inner) -> tuple[Traversal, Column]:
-        """The first value of the inner traversal for each object, beside the object."""
+        """The first value of the inner traversal for each object, beside the object: in its order, or the least."""
         out, key = self._inner(inner)
         name = f"~by{len(self.df.columns)}_{len(self.keys)}"
         value = out._identity() if out.kind != "map" or len(out.object) > 1 else F.col(out.object[0])
-        first = out.df.select(F.col(key), value.alias(name)).groupBy(key).agg(F.min(name).alias(name)) if out.kind != "map" else out.df.select(F.col(key), value.alias(name)).dropDuplicates([key])
+        if out.ordering:
+            rank = F.row_number().over(Window.partitionBy(key).orderBy(*out._ordering))
+            first = out.df.select(F.col(key), value.alias(name), rank.alias("~r")).where("`~r` = 1").drop("~r")
+        elif out.kind == "map":
+            first = out.df.select(F.col(key), value.alias(name)).dropDuplicates([key])
+        else:
+            first = out.df.select(F.col(key), value.alias(name)).groupBy(key).agg(F.min(name).alias(name))
         own = self.df.join(first, self._ident() == first[key], "left").drop(first[key])
         return self._on(own), F.col(name)
 
     def _flat(self, inner: Inner) -> Traversal:
         """Every result of the inner traversal for every traverser, with what travelled along."""
         out, key = self._inner(inner)
+        out = out._on(out.df.drop(*(c for c, _ in out.ordering)), ordering=self.ordering)  # the outer order stays
         keep = [c for c in self.travelling if c not in out.travelling or c == "_n"]
         outer = self.df.select(self._ident().alias("~k"), *(F.col(c).alias("~n" if c == "_n" else c) for c in keep))
         joined = outer.join(out.df, outer["~k"] == out.df[key]).drop("~k", key)
         if "_n" in keep:
             joined = joined.withColumn("_n", F.col("~n") * out._n()).drop("~n")
-        return out._on(joined, keys=self.keys, starts=self.starts)
+        return out._on(joined, keys=self.keys, starts=self.starts, ordering=self.ordering)
 
     # --- filters ---
 
@@ -193,8 +203,9 @@ class Traversal:
         return own._on(own.df.where(F.col("label").isin(*labels)), labels=tuple(labels))
 
     def has_id(self, *ids: Any) -> Traversal:
-        test = ids[0] if len(ids) == 1 and isinstance(ids[0], P) else P.within(*ids)
-        return self._on(self.df.where(test(F.col("id"))))
+        if len(ids) == 1 and isinstance(ids[0], P):
+            return self._on(self.df.where(ids[0](F.col("id"))))
+        return self._on(self.df.where(F.col("id").isin([key_of(i) for i in ids if i is not None])))
 
     def has_key(self, *keys: str) -> Traversal:
         return self._on(self.df.where(F.col("key").isin(*keys)))
@@ -205,11 +216,21 @@ class Traversal:
     def is_(self, test: Any) -> Traversal:
         return self._on(self.df.where(as_predicate(test)(F.col("value"))))
 
-    def where(self, inner: Inner | str, test: P | str | None = None, by: str | None = None) -> Traversal:
-        """An inner traversal with a result; or where(a, op, b) over marked objects, by a property."""
-        if callable(inner):
-            return self._matching(inner, "left_semi")
-        raise TypeError("where takes an inner traversal; see where_marked for marked objects")
+    def where(self, inner: Inner | str | P, test: P | str | None = None, by: str | None = None) -> Traversal:
+        """An inner traversal with a result; where(a, P.gt(b)) over marked objects, or where(P.neq(a))
+        of the current object, each by a property (without by, the objects themselves)."""
+        if isinstance(inner, P):
+            if inner.pair is None:
+                raise TypeError("where compares with a marked object: P.eq, neq, lt, lte, gt or gte of its name")
+            here = self.as_("~here")
+            return here.where_marked("~here", *inner.pair, by)._on_like(self)
+        if isinstance(inner, str):
+            compare, other = (lambda a, b: a == b, test) if isinstance(test, str) else test.pair
+            return self.where_marked(inner, compare, other, by)
+        return self._matching(inner, "left_semi")
+
+    def _on_like(self, before: Traversal) -> Traversal:
+        return replace(before, df=self.df.select(*before.df.columns))
 
     filter = where
 
@@ -217,7 +238,7 @@ class Traversal:
         """Compares a property of two marked vertices (their ids without by)."""
         own, sides = self, []
         for i, name in enumerate((a, b)):
-            column = F.col(f"_as_{name}")
+            column = F.col(f"`_as_{name}`")
             if by is not None:
                 labels = self.names[name].labels
                 side = self.graph.vertex_frame(labels).select(F.col("id").alias(f"~i{i}"), F.col(by).alias(f"~v{i}"))
@@ -291,13 +312,13 @@ class Traversal:
 
     def tail(self, n: int = 1) -> Traversal:
         """The last n in the order that order() gave, in that order."""
-        order = self.ordering or [(c, False) for c in self._order_key()]
+        order = [(F.col(c), desc) for c, desc in self.ordering] or [(c, False) for c in self._order_key()]
         out = self._sliced(0, n, [_sorted(c, not desc) for c, desc in order])
         return out._on(out.df.orderBy(*(_sorted(c, desc) for c, desc in order))) if not self.keys else out
 
     @property
     def _ordering(self) -> list[Column]:
-        return [_sorted(c, desc) for c, desc in self.ordering]
+        return [_sorted(F.col(c), desc) for c, desc in self.ordering]
 
     def limit_local(self, n: int) -> Traversal:
         return self._value(F.slice("value", 1, n))
@@ -338,6 +359,7 @@ class Traversal:
     def barrier(self) -> Traversal:
         """Merges equal traversers into one row with a multiplicity."""
         own = self.df if self.kind != "vertex" else self.df.select(*self.travelling, "id")
+        own = own.drop(*(c for c, _ in self.ordering))
         columns = [c for c in own.columns if c != "_n"]
         n = F.sum("_n") if "_n" in own.columns else F.count("*")
         return self._on(own.groupBy(*columns).agg(n.alias("_n")), loaded=self.loaded and self.kind != "vertex")
@@ -360,7 +382,7 @@ class Traversal:
             ends.append(self.graph.end_labels(labels, out=there == "src"))
         out = self._on(union_all(parts), "edge" if to_edge else "vertex", labels=tuple(labels) or None, loaded=to_edge)
         if to_edge:
-            return out
+            return out._tracked()
         known = None if None in ends else tuple(dict.fromkeys(x for own in ends for x in own))
         return out._on(out.df, labels=known)._tracked()
 
@@ -416,18 +438,24 @@ class Traversal:
 
     # --- the way ---
 
-    def track(self, by: str | None = None) -> Traversal:
-        """From here on keeps the vertices passed: their ids, and a property of each."""
-        own = self.load() if by else self
-        column = F.col(by).cast("string") if by else F.col("id").cast("string")
-        return own._on(own.df.withColumns({"_ids": F.array("id"), "_path": F.array(column)}), by_path=by or "")
+    def track(self, *by: Any) -> Traversal:
+        """From here on keeps the vertices and edges passed, for path(): of each the property or token
+        that `by` names, several in turn; ids without one. simple_path() looks at vertices alone."""
+        own = self._on(self.df, by_path=by or (T.id,), passed=0)
+        own, shown = own._shown()
+        return own._on(own.df.withColumns({"_ids": F.array("id") if self.kind == "vertex" else F.array().cast("array<bigint>"), "_path": F.array(shown)}), passed=1)
+
+    def _shown(self) -> tuple[Traversal, Column]:
+        """The current object as the way shows it, as text."""
+        own, c = self._by(self.by_path[self.passed % len(self.by_path)])
+        return own, c.cast("string")
 
     def _tracked(self) -> Traversal:
         if self.by_path is None or "_ids" not in self.df.columns:
             return self
-        own = self.load() if self.by_path else self
-        column = F.col(self.by_path).cast("string") if self.by_path else F.col("id").cast("string")
-        return own._on(own.df.withColumns({"_ids": F.array_append("_ids", F.col("id")), "_path": F.array_append("_path", column)}))
+        own, shown = self._shown()
+        ids = {"_ids": F.array_append("_ids", F.col("id"))} if self.kind == "vertex" else {}
+        return own._on(own.df.withColumns({**ids, "_path": F.array_append("_path", shown)}), passed=self.passed + 1)
 
     def path(self) -> Traversal:
         return self._value(F.col("_path"))
@@ -632,23 +660,52 @@ class Traversal:
     def mean_local(self) -> Traversal:
         return self._value(F.aggregate("value", F.lit(0.0), lambda a, x: a + x) / F.size("value"))
 
+    def _listed(self, c: Column) -> Column:
+        """An aggregate: the list of a column in the stream's order, or sorted."""
+        if not self.ordering:
+            return F.array_sort(F.collect_list(c))
+        pairs = F.collect_list(F.when(c.isNotNull(), F.struct(*(F.col(k) for k, _ in self.ordering), c.alias("~v"))))
+
+        def compare(x: Column, y: Column) -> Column:
+            out = F.lit(0)
+            for k, desc in reversed(self.ordering):
+                less, more = (1, -1) if desc else (-1, 1)
+                out = F.when(x[k] < y[k], less).when(x[k] > y[k], more).otherwise(out)
+            return out
+
+        return F.transform(F.array_sort(pairs, compare), lambda x: x["~v"])
+
     def fold(self, seed: Any = None, op: Callable[[Column, Column], Column] | None = None) -> Traversal:
-        """All objects as one sorted list; with a seed and an operator, their reduction."""
+        """All objects as one list, in the stream's order or sorted; with a seed and an operator, their reduction."""
         own = self._single()
-        listed = own._reduced(F.array_sort(F.collect_list(own._identity())).alias("value"), fill=None)
+        listed = own._reduced(own._listed(own._identity()).alias("value"), fill=None)
         if op is None:
             return listed
         return listed._value(F.aggregate("value", F.lit(seed), op))
 
-    def group(self, by: Any = None, value: Any = None, reduce: Callable[[Column], Column] | None = None) -> Traversal:
-        """A map of key and value: the values' reduction (F.sum, F.max…), or their sorted list."""
+    def group(self, by: Any = None, value: Any = None, reduce: Callable[[Column], Column] | None = None, within: Inner | None = None) -> Traversal:
+        """A map of key and value: the values' reduction (F.sum, F.max…), or their list in the stream's
+        order (sorted, without one). within: an inner traversal over each group's objects, whose
+        first result is the value."""
         own, k = self._by(by)
         own = own._on(own.df.withColumn("~k", k))
+        if within is not None:
+            key = f"_key{int(self.keys[0][4:]) + 1 if self.keys else 1}"
+            members = own._on(own.df.where(F.col("~k").isNotNull()).withColumnRenamed("~k", key), keys=(key,), starts=own.df.select(F.col("~k").alias(key)).where(F.col(key).isNotNull()).distinct())
+            out = within(members)
+            values = out._joined_to_key(key)
+            return own._on(values.select(F.col(key).alias("key"), "value"), "map", labels=None, loaded=True, ordering=())
         own, v = own._by(value)
-        agg = (reduce or (lambda c: F.array_sort(F.collect_list(c))))(v)
+        agg = (reduce or own._listed)(v)
         out = own.df.where(F.col("~k").isNotNull()).groupBy(*self.keys, F.col("~k").alias("key")).agg(agg.alias("value"))
         return own._on(out, "map", labels=None, loaded=True)
 
+    def _joined_to_key(self, key: str) -> DataFrame:
+        """key and the first object of each."""
+        own = self.df.select(key, *(c for c, _ in self.ordering), self._identity().alias("value"))
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(*(self._ordering or ["value"])))
+        return own.withColumn("~r", rank).where("`~r` = 1").select(key, "value")
+
     def group_count(self, by: Any = None) -> Traversal:
         own, k = self._by(by)
         n = F.sum("_n") if "_n" in own.df.columns else F.count("*")
@@ -672,16 +729,17 @@ class Traversal:
     # --- order ---
 
     def order(self, *by: Any, desc: bool | list[bool] = False) -> Traversal:
-        """By properties or inner traversals; a pair (by, "desc") turns one round. Objects without one go."""
-        own, columns = self, []
-        for b in by or (None,):
+        """By properties or inner traversals; a pair (by, "desc") turns one round. Objects without one
+        go. What the stream is ordered by travels along until a reducing step."""
+        own, columns = self._on(self.df.drop(*(c for c, _ in self.ordering)), ordering=()), []
+        for i, b in enumerate(by or (None,)):
             down = desc
             if isinstance(b, tuple):
                 b, down = b[0], b[1] == "desc"
             own, c = own._by(b)
-            own = own._on(own.df.where(c.isNotNull()))
-            columns.append((c, bool(down)))
-        df = own.df.orderBy(*(_sorted(c, down) for c, down in columns)) if not self.keys else own.df
+            own = own._on(own.df.where(c.isNotNull()).withColumn(f"_ord{i}", c))
+            columns.append((f"_ord{i}", bool(down)))
+        df = own.df.orderBy(*(_sorted(F.col(c), down) for c, down in columns)) if not self.keys else own.df
         return own._on(df, ordering=tuple(columns))
 
     def order_shuffle(self, seed: int = 0) -> Traversal:
@@ -750,13 +808,36 @@ class Traversal:
         return _bag(self, done)
 
     def match(self, *patterns: tuple[str, Inner, str]) -> Traversal:
-        """Patterns (a, inner, b): the inner traversal leads from a to b. A map of all bindings."""
+        """Patterns (a, inner, b): the inner traversal leads from a to b. A map of all bindings, as ids
+        or values, each as often as there are ways.
+
+        The first pattern's a is an object of this stream. Another pattern starts from what is
+        bound to its a already, or, if nothing is, from all vertices.
+        """
         found: DataFrame | None = None
-        for a, inner, b in patterns:
-            out, key = self._on(self.df.select("id"), loaded=False)._inner(inner)
-            pairs = out.df.select(F.col(key).alias(a), out._identity().alias(b)).distinct()
-            found = pairs if found is None else found.join(pairs, [c for c in (a, b) if c in found.columns])
-        return self._on(found, "map", labels=None, loaded=True)
+        kinds: dict[str, Traversal] = {patterns[0][0]: self}
+        waiting = list(patterns)
+        while waiting:
+            at = next((i for i, (a, _, _) in enumerate(waiting) if a in kinds), 0)
+            a, inner, b = waiting.pop(at)
+            start = kinds.get(a) or self.graph.V()
+            if found is None or a not in found.columns:
+                start = start._on(start.df.select("id") if start.kind == "vertex" else start.df.select("value"), loaded=start.kind != "vertex")
+            else:
+                name = "id" if start.kind == "vertex" else "value"
+                start = start._on(found.select(F.col(a).alias(name)).distinct(), loaded=start.kind != "vertex", labels=start.labels)
+            start = replace(start, names={}, keys=(), starts=None, by_path=None, ordering=())
+            out, key = start._inner(inner)
+            out = out._single()
+            pairs = out.df.select(F.col(key).alias(a), *([out._identity().alias(b)] if b != a else []))
+            if b == a:
+                pairs = out.df.where(F.col(key) == out._identity()).select(F.col(key).alias(a))
+            if found is None and self.df.columns != ["id"]:
+                pairs = self._single().df.select(self._identity().alias(a)).join(pairs, a)  # equal objects of the stream each
+            kinds.setdefault(a, start)
+            kinds.setdefault(b, out._on(out.df.limit(0), loaded=out.kind != "vertex") if out.kind != "vertex" else out)
+            found = pairs if found is None else found.join(pairs, [c for c in dict.fromkeys((a, b)) if c in found.columns])
+        return replace(self._on(found, "map", labels=None, loaded=True), names={}, by_path=None, ordering=())
 
     # --- ends ---
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,9 +141,9 @@ def hop_other_v(g):
     return g.V(TAGS["nation"] * TAG + 5, labels=["nation"]).both_e().other_v().id()
 
 
-@query(f"SELECT {v('order', 'o_orderkey')} AS id FROM orders WHERE o_custkey % 10 = 0", "id")
+@query(f"SELECT {v('order', 'o_orderkey')} AS id FROM orders JOIN customer ON o_custkey = c_custkey", "id")
 def hop_out_ids(g):
-    return g.V(labels=["customer"]).where(lambda t: t._on(t.df.where(F.col("id") % 10 == 0))).out("placed").id()
+    return g.V(labels=["customer"]).out("placed").id()
 
 
 @query(f"SELECT {v('order', 'o_orderkey')} AS id FROM orders JOIN customer ON o_custkey = c_custkey", "id")
@@ -162,7 +163,7 @@ def three_hop_filter(g):
 
 @query(f"SELECT {v('supplier', 'l_suppkey')} AS id, count(*) AS degree FROM lineitem GROUP BY 1 HAVING count(*) >= 600")
 def supernodes(g):
-    return g.degrees("out", ["ships"]).where("degree >= 600")
+    return replace(g, edges={"ships": g.edges["ships"]}).supernodes(600, "out")
 
 
 @query("SELECT o_orderpriority AS priority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(*) >= 600) AND l_quantity > 40 GROUP BY 1", "priority", "n")
@@ -202,8 +203,14 @@ def where_has_id(g):
 
 @query("SELECT count(*) AS n FROM (SELECT a.c_custkey FROM customer a JOIN nation ON a.c_nationkey = n_nationkey JOIN supplier b ON b.s_nationkey = n_nationkey WHERE b.s_acctbal > a.c_acctbal)", "n")
 def where_marked(g):
-    pairs = g.V(labels=["customer"]).as_("a").out("c_in").in_("s_in").as_("b").select("a", "b", by=["c_acctbal", "s_acctbal"])
-    return pairs._on(pairs.df.where("b > a")).count()
+    own = replace(g, vertices=g.vertices | {"customer": g.vertices["customer"].withColumnRenamed("c_acctbal", "balance"), "supplier": g.vertices["supplier"].withColumnRenamed("s_acctbal", "balance")})
+    return own.V(labels=["customer"]).as_("a").out("c_in").in_("s_in").as_("b").where_marked("a", lambda a, b: a < b, "b", by="balance").count()
+
+
+@query("SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey JOIN orders x ON x.o_orderkey = a.l_orderkey JOIN orders y ON y.o_orderkey = b.l_orderkey WHERE x.o_totalprice < y.o_totalprice AND a.l_quantity > 45", "n")
+def where_by(g):
+    first = g.V(labels=["order"]).as_("a").out_e("contains").has("quantity", P.gt(45)).in_v().in_("contains").as_("b")
+    return first.where("a", P.lt("b"), by="o_totalprice").count()
 
 
 # --- reducing steps ---
@@ -319,8 +326,12 @@ def properties(g):
 
 @query("SELECT s_name || '>' || n_name || '>' || r_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", "path")
 def path_by(g):
-    start = g.V(labels=["supplier"]).as_("s").out("s_in").as_("n").out("in_region").as_("r").select("s", "n", "r", by=["s_name", "n_name", "r_name"])
-    return start.to_df().select(F.concat_ws(">", "s", "n", "r").alias("path"))
+    return g.V(labels=["supplier"]).track("s_name", "n_name", "r_name").out("s_in").out("in_region").path().apply(lambda c: lists.conjoin(c, ">"))
+
+
+@query("SELECT o_orderpriority || '>' || l_returnflag || '>' || p_brand AS path FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_totalprice > 300000", "path")
+def path_with_edges(g):
+    return g.V(labels=["order"]).has("o_totalprice", P.gt(300000.0)).track("o_orderpriority", "returnflag", "p_brand").out_e("contains").in_v().path().apply(lambda c: lists.conjoin(c, ">"))
 
 
 @query("SELECT i AS index, p AS item FROM (SELECT unnest(string_split(p_type, ' ')) AS p, generate_subscripts(string_split(p_type, ' '), 1) - 1 AS i FROM part)")
@@ -395,6 +406,27 @@ def match_pattern(g):
     return europe.match(("n", __.in_("c_in"), "c"), ("n", __.in_("s_in"), "s")).count()
 
 
+@query("SELECT count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE r_regionkey = 2", "n")
+def match_chain(g):
+    return g.V(TAGS["region"] * TAG + 2, labels=["region"]).match(("r", __.in_("in_region"), "n"), ("n", __.in_("c_in"), "c"), ("c", __.out("placed"), "o")).count()
+
+
+@query("SELECT string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM nation", "names")
+def fold_ordered(g):
+    return g.V(labels=["nation"]).order(("n_name", "desc")).values("n_name").fold().apply(lambda c: lists.conjoin(c, ","))
+
+
+@query(f"SELECT {v('customer', 'o_custkey')} AS id, arg_max(o_orderstatus, (o_totalprice, o_orderkey)) AS dearest FROM orders GROUP BY 1", "id", "dearest")
+def project_ordered(g):
+    best = __.out("placed").order(("o_totalprice", "desc"), (T.id, "desc")).values("o_orderstatus")
+    return g.V(labels=["customer"]).where(__.out("placed")).project("id", "dearest", by=[T.id, best])
+
+
+@query("SELECT c_mktsegment AS key, count(o_orderkey) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1", "key", "value")
+def group_within(g):
+    return g.V(labels=["customer"]).group("c_mktsegment", within=__.out("placed").count())
+
+
 @query(f"WITH {FOLLOWS}, b AS (SELECT src, dst FROM f UNION ALL SELECT dst, src FROM f), h1 AS (SELECT dst, count(*) AS n FROM b GROUP BY 1), h2 AS (SELECT b.dst, sum(n) AS n FROM h1 JOIN b ON h1.dst = b.src GROUP BY 1), h3 AS (SELECT b.dst, sum(n) AS n FROM h2 JOIN b ON h2.dst = b.src GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n FROM h3", "n")
 def bulk_fanout(g):
     return g.V(labels=["user"]).repeat(__.both("follows"), times=3).count()
@@ -436,13 +468,12 @@ def pagerank(g):
 
 
 @query(
-    f"WITH RECURSIVE {FOLLOWS}, e AS (SELECT DISTINCT src, dst FROM f WHERE src <> dst AND src % 5 = 0 AND dst % 5 <> 1 AND abs(src - dst) < 20), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), "
+    f"WITH RECURSIVE {FOLLOWS}, e AS (SELECT DISTINCT src, dst FROM f), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), "
     f"u AS (SELECT DISTINCT {v('user', 'user_id')} AS id FROM events), r AS (SELECT id, id AS other FROM u UNION SELECT r.id, b.dst FROM r JOIN b ON r.other = b.src) "
     "SELECT id, min(CAST(other AS VARCHAR)) AS component FROM r GROUP BY 1"
 )
 def connected_components(g):
-    users, follows = _users(g)
-    return algorithms.connected_components(users, follows.where("src <> dst and src % 5 = 0 and dst % 5 <> 1 and abs(src - dst) < 20"))
+    return algorithms.connected_components(*_users(g))
 
 
 @query()
@@ -451,11 +482,11 @@ def connected_components_all(g):
     return algorithms.connected_components(*_users(g))
 
 
-@query(f"WITH RECURSIVE {FOLLOWS}, s AS (SELECT DISTINCT src, dst FROM f WHERE src <> dst AND src % 3 <> 2), r AS (SELECT {TAGS['user'] * TAG + 3} AS id, 0 AS distance UNION SELECT s.dst, r.distance + 1 FROM r JOIN s ON r.id = s.src WHERE r.distance < 6) SELECT id, min(distance) AS distance FROM r GROUP BY 1")
+@query(f"WITH RECURSIVE {FOLLOWS}, s AS (SELECT DISTINCT src, dst FROM f), r AS (SELECT {TAGS['user'] * TAG + 3} AS id, 0 AS distance UNION SELECT s.dst, r.distance + 1 FROM r JOIN s ON r.id = s.src WHERE r.distance < 60) SELECT id, min(distance) AS distance FROM r GROUP BY 1")
 def bfs_distance(g):
     users, follows = _users(g)
     start = users.where(F.col("id") == TAGS["user"] * TAG + 3)
-    return algorithms.bfs(users, follows.where("src <> dst and src % 3 <> 2"), start, depth=6)
+    return algorithms.bfs(users, follows, start)
 
 
 @query()
@@ -583,10 +614,10 @@ def fn_list_sets(g):
     return g.V(labels=["part"]).project("name", "common", "only_a", "combined", "pairs", by=["p_name", text(lists.intersect(a, b)), F.size(lists.difference(a, b)).cast("long"), F.size(lists.combine(a, b)).cast("long"), F.size(lists.product(a, b)).cast("long")])
 
 
-@query("SELECT DISTINCT c_mktsegment AS segment, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT DISTINCT n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", "nation", "region")
 def dedup_marked(g):
-    pairs = g.V(labels=["customer"]).as_("segment").out("c_in").out("in_region").as_("region").select("segment", "region", by=["c_mktsegment", "r_name"])
-    return pairs.dedup()
+    ways = g.V(labels=["customer"]).out("c_in").as_("nation").out("in_region").as_("region")
+    return ways.dedup("nation", "region").select("nation", "region", by=["n_name", "r_name"])
 
 
 @query(f"SELECT l_quantity AS quantity, p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity < 5 GROUP BY 1, 2")
@@ -607,15 +638,19 @@ def sack_min(g):
     return out.df.groupBy("id").agg(F.min("_sack").alias("least"))
 
 
+#: Rounds of the SQL, more than the edges of any lightest way in the given tables.
+WAYS = 30
+
+
 @query(
     f"WITH {FOLLOWS}, e AS (SELECT src, dst, CAST(min(abs(src - dst)) AS DOUBLE) AS w FROM f GROUP BY 1, 2), b0 AS (SELECT {TAGS['user'] * TAG + 3} AS id, CAST(0 AS DOUBLE) AS total), "
-    + ", ".join(f"b{i} AS (SELECT id, min(total) AS total FROM (SELECT * FROM b{i - 1} UNION ALL SELECT e.dst, total + w FROM b{i - 1} JOIN e ON e.src = b{i - 1}.id) GROUP BY 1)" for i in (1, 2, 3))
-    + " SELECT id, total FROM b3"
+    + ", ".join(f"b{i} AS (SELECT id, min(total) AS total FROM (SELECT * FROM b{i - 1} UNION ALL SELECT e.dst, total + w FROM b{i - 1} JOIN e ON e.src = b{i - 1}.id) GROUP BY 1)" for i in range(1, WAYS + 1))
+    + f" SELECT id, total FROM b{WAYS}"
 )
 def weighted_distance(g):
     users, follows = _users(g)
     start = users.where(F.col("id") == TAGS["user"] * TAG + 3)
-    return algorithms.shortest_weights(follows.withColumn("weight", F.abs(F.col("src") - F.col("dst"))), start, "weight", rounds=3)
+    return algorithms.shortest_weights(follows.withColumn("weight", F.abs(F.col("src") - F.col("dst"))), start, "weight")
 
 
 @query()

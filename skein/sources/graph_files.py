@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.graph import EDGE_KEYS, PropertyGraph
+from skein.graph import EDGE_KEYS, PropertyGraph, id_key
 
 NUMBERS = {"int": "int", "long": "bigint", "float": "double", "double": "double", "boolean": "boolean"}
 
@@ -33,8 +33,8 @@ def read_graphml(spark: SparkSession, path: str, vertex_label: str = "labelV", e
             out[r["label"]] = part.select(*(c for c in part.columns if c in head or held[c]))
         return out
 
-    nodes = read("node", f"_id string, {data}").select(F.col("_id").cast("long").alias("id"), "data")
-    edges = read("edge", f"_id string, _source string, _target string, {data}").select(F.col("_id").cast("long").alias("id"), F.col("_source").cast("long").alias("src"), F.col("_target").cast("long").alias("dst"), "data")
+    nodes = read("node", f"_id string, {data}").select(id_key(F.col("_id")).alias("id"), "data")
+    edges = read("edge", f"_id string, _source string, _target string, {data}").select(id_key(F.col("_id")).alias("id"), id_key(F.col("_source")).alias("src"), id_key(F.col("_target")).alias("dst"), "data")
     return PropertyGraph(spark, frames(nodes, vertex_label, "vertex", "node"), frames(edges, edge_label, "edge", "edge"))
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.graph import PropertyGraph, numeric_id, union_all
+from skein.graph import PropertyGraph, id_key, union_all
 
 #: Fixed values of the header grammar.
 TYPES = {"long": "bigint", "int": "int", "integer": "int", "double": "double", "bool": "boolean", "boolean": "boolean", "string": "string", "date": "timestamp", "offsetdatetime": "timestamp"}
@@ -92,7 +92,7 @@ def _read(spark: SparkSession, paths: list[str], edges: bool, null_token: str) -
         ends = ["~from", "~to"] if edges else ["~id"]
         missing = reduce(lambda a, b: a | b, [named(c, F.lit(None).cast("string")).isNull() for c in ends])
         wrong = reduce(lambda a, b: a | b, [b for _, b in values.values()], missing)
-        key = lambda c: F.coalesce(numeric_id(F.col(f"`{c}`")), F.xxhash64(f"`{c}`"))
+        key = lambda c: id_key(F.col(f"`{c}`"))
         label = named("~label", F.lit("edge" if edges else "vertex")).alias("label")
         columns = [v.alias(h.name) for h, (v, _) in values.items()]
         flagged = raw.withColumn("~bad", wrong)
@@ -101,7 +101,7 @@ def _read(spark: SparkSession, paths: list[str], edges: bool, null_token: str) -
             made = F.xxhash64(label, "`~from`", "`~to`", *(f"`{h.column}`" for h in headers))
             rows = flagged.where("not `~bad`").select(F.coalesce(own, made).alias("id"), label, key("~from").alias("src"), key("~to").alias("dst"), *columns)
         else:
-            rows = flagged.where("not `~bad`").select(key("~id").alias("id"), label, F.col("`~id`").alias("~text"), *columns)
+            rows = flagged.where("not `~bad`").select(key("~id").alias("id"), label, F.col("`~id`").alias("id_text"), *columns)
         good.append(rows)
         bad.append(flagged.where("`~bad`").select(F.lit(path).alias("path"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in raw.columns))).alias("row")))
     return Loaded(union_all(good), union_all(bad))
@@ -130,12 +130,13 @@ def dangling_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, vertex_paths: list[str], edge_paths: list[str], bad_entries: int = 0, bad_edges: int = 0, duplicates: int = 0) -> PropertyGraph:
-    """The graph of the files; an error if there are more faults than allowed. Of repeated ids one stays."""
+    """The graph of the files; an error if there are more faults than allowed. Of repeated ids one
+    stays. An id as it was written is the property id_text; V("text") finds it."""
     v, e = read_vertices(spark, vertex_paths), read_edges(spark, edge_paths)
     faults = {"bad entries": (v.bad.count() + e.bad.count(), bad_entries), "duplicate ids": (duplicate_ids(v.good).agg(F.coalesce(F.sum("surplus"), F.lit(0))).first()[0], duplicates), "edges without an end": (dangling_edges(e.good, v.good).count(), bad_edges)}
     if over := {k: n for k, (n, most) in faults.items() if n > most}:
         raise ValueError(f"more faults than allowed: {over}")
-    unique = v.good.dropDuplicates(["id"]).drop("~text")
+    unique = v.good.dropDuplicates(["id"])
     ids = unique.select("id")
     kept = e.good.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     by_label = lambda f: {r["label"]: f.where(F.col("label") == r["label"]).drop("label") for r in f.select("label").distinct().collect()}

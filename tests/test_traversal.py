@@ -148,3 +148,53 @@ def test_subgraph_and_plans(g):
     joins = lambda t: t.df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(g.V(1).out("knows").id()) == 1
     assert joins(g.V(1).out("knows").values("name")) == 2
+
+
+def test_match_binds_in_turn(g):
+    rows = g.V(1).match(("a", __.out("knows"), "b"), ("b", __.out("created"), "c")).to_list()
+    assert sorted((r["a"], r["b"], r["c"]) for r in rows) == [(1, 4, 3), (1, 4, 5)]
+    back = g.V().match(("a", __.out("created"), "b"), ("c", __.out("created"), "b"), ("c", __.values("name"), "n")).to_list()
+    assert len(back) == 10 and {r["n"] for r in back if r["a"] == 1} == {"marko", "josh", "peter"}
+
+
+def test_lists_keep_the_order(g):
+    assert g.V().order(("age", "desc")).values("age").fold().to_list() == [[35, 32, 29, 27]]
+    assert g.V().order("age").values("name").fold().to_list() == [["vadas", "marko", "josh", "peter"]]
+    rows = g.V().has_label("person").order(("age", "desc")).group(by=__.label(), value="name").to_list()
+    assert rows == [{"key": "person", "value": ["peter", "josh", "marko", "vadas"]}]
+
+
+def test_ordered_inner_values(g):
+    rows = g.V(1).project("n", by=[__.out("knows").order(("name", "desc")).values("name")]).to_list()
+    assert rows == [{"n": "vadas"}]
+    assert g.V(1).map_(__.out().order(("name", "desc")).values("name")).to_list() == ["vadas"]
+
+
+def test_group_with_an_inner_traversal(g):
+    rows = g.V().group(by=T.label, within=__.out("created").count()).to_list()
+    assert sorted((r["key"], r["value"]) for r in rows) == [("person", 4), ("software", 0)]
+    rows = g.V().has_label("person").group(by=T.label, within=__.both_e().values("weight").order(("value", "desc")).limit(2).fold()).to_list()
+    assert rows == [{"key": "person", "value": [1.0, 1.0]}]
+
+
+def test_paths_with_edges(g):
+    paths = g.V(1).track("name", "weight").out_e("created").in_v().path().to_list()
+    assert paths == [["marko", "0.4", "lop"]]
+    assert sorted(g.V(4).track().out("created").path().to_list()) == [["4", "3"], ["4", "5"]]
+    assert g.V(4).track(T.label).out("created").limit(1).path().to_list() == [["person", "software"]]
+
+
+def test_comparison_of_marks(g):
+    pairs = g.V().has_label("person").as_("a").out("created").in_("created").as_("b")
+    assert pairs.where("a", P.lt("b"), by="age").select("a", "b", by=["name", "name"]).count().to_list() == [3]
+    assert len(pairs.where(P.neq("a")).to_list()) == 6 and len(pairs.where("a", "b").to_list()) == 4
+
+
+def test_text_ids(spark):
+    from skein.graph import PropertyGraph, id_key
+
+    rows = spark.createDataFrame([("x-1", 1), ("9223372036854775809", 2), ("7", 3), (None, 4)], "t string, k int")
+    own = PropertyGraph(spark, {"a": rows.select(id_key(F.col("t")).alias("id"), F.col("t").alias("id_text"), "k")})
+    assert own.V("x-1").values("k").to_list() == [1] and own.V(9223372036854775809).values("k").to_list() == [2]
+    assert own.V("7").values("id_text").to_list() == ["7"] == own.V(7).values("id_text").to_list()
+    assert own.V().has_id("x-1", "7").count().to_list() == [2] and own.V("none").to_list() == []
