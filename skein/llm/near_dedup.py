@@ -5,7 +5,7 @@ for it. In each of several independent trees, nodes branch by the minwise token
 function of the branch's path picks from their sets: sets of similarity s take the same branch
 with probability s. What becomes of a tree node depends on its members:
 
-* A node of up to LEAF members (four times as many with each level, up to LARGEST_LEAF) is compared
+* A node of up to LEAF members (sixteen times as many with each level, up to LARGEST_LEAF) is compared
   exhaustively, by sketches.
 * In a larger one, every member meets the node's representative (of some random members, the one
   with which most of them agree). Those that agree with it become its candidates; the others meet WITNESSES of these. If those that agree
@@ -53,7 +53,7 @@ from skein.llm.vocab import Memo
 FUNCTIONS = 128
 TREES = 12
 #: Largest tree node that is compared exhaustively: at the first level, and at any. The limit grows
-#: by four with each level, so that nodes which hardly thin out end after some levels too.
+#: by sixteen with each level, so that nodes which hardly thin out end after some levels too.
 LEAF, LARGEST_LEAF = 64, 4096
 #: Random members of a large tree node of which one becomes its representative, and members, besides
 #: it, that those unlike it meet.
@@ -223,7 +223,7 @@ def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tu
     sketches = nodes.select("nid", "sketch")
     meet, links = [], []
     for depth in count():
-        limit = max(leaf, min(leaf << 2 * depth, LARGEST_LEAF))
+        limit = max(leaf, min(leaf << 4 * depth, LARGEST_LEAF))
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = saved(level.join(sizes, "node"))
         meet.append(sized.where(F.col("n") <= limit).select("node", "nid", F.lit(True).alias("far")))
