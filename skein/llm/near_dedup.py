@@ -28,6 +28,9 @@ passes pairs whose 128 functions agree less than expected at the threshold by up
 standard deviations, and misses about 1e-7 of the pairs that stand there. Sets, texts and nodes are
 told apart by 64-bit and 128-bit hashes.
 
+Both sides of the joins on sets, texts and groups grow with the documents, so their hints rule out
+broadcasts, which would pile up in the driver over the many levels and rounds.
+
 Defined results: a document without words (null, empty, or white space only) has an empty set,
 links with nothing and is its own component. Rows that share a doc_id get the class of their own
 text. A row without doc_id has no component of its own: its component_id is the smallest doc_id
@@ -225,13 +228,13 @@ def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tu
     for depth in count():
         limit = max(leaf, min(leaf << 4 * depth, LARGEST_LEAF))
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = saved(level.join(sizes, "node"))
+        sized = saved(level.join(sizes.hint("merge"), "node"))
         meet.append(sized.where(F.col("n") <= limit).select("node", "nid", F.lit(True).alias("far")))
         large = sized.where(F.col("n") > limit)
         if large.isEmpty():
             break
         if "sketch" not in large.columns:
-            large = saved(large.join(sketches, "nid"))
+            large = saved(large.join(sketches.hint("merge"), "nid"))
 
         # of some random members, the one with which most of them agree
         some = large.groupBy("node").agg(F.array_distinct(F.transform(F.array(*(_lowest(F.lit(True), i) for i in range(SAMPLES))), lambda x: F.struct(x["nid"].alias("nid"), x["sketch"].alias("sketch")))).alias("some"))
@@ -244,7 +247,7 @@ def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tu
         witness = apart.select("node", F.explode("w").alias("w")).select("node", F.col("w.nid").alias("by"), F.col("w.sketch").alias("other")).distinct()
         meetings = judged.where("far").select("node", "nid", "sketch").join(witness, "node")
         reached = judged_against(meetings, share).where("near").groupBy("node", "nid").agg(F.min("by").alias("by"))
-        judged = judged.join(reached, ["node", "nid"], "left").withColumn("far", F.col("far") & F.col("by").isNull())
+        judged = judged.join(reached.hint("merge"), ["node", "nid"], "left").withColumn("far", F.col("far") & F.col("by").isNull())
         rest = saved(judged.join(judged.groupBy("node").agg(F.count_if("far").alias("m")), "node"))
         links.append(rest.where("not far and nid <> chosen").select(F.col("nid").alias("a"), F.coalesce("by", "chosen").alias("b")))
         # few differ: they meet every chunk of the others
@@ -368,7 +371,7 @@ def confirm(placed: DataFrame, texts: DataFrame, width: int, over: int, under: i
             yield batches_of({"a": a, "b": b}, LINK)
 
     keys = ["group", "i", "j"]
-    rows = placed.join(texts, "nid").select(F.explode("cells").alias("c"), "nid", "text").select(*(f"c.{k}" for k in keys), "nid", "text")
+    rows = placed.join(texts.hint("merge"), "nid").select(F.explode("cells").alias("c"), "nid", "text").select(*(f"c.{k}" for k in keys), "nid", "text")
     return rows.repartition(tasks(texts.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
@@ -382,7 +385,7 @@ def blocks_of(sets, elements) -> Column:
 
 def hubs(member: DataFrame, sketches: DataFrame) -> DataFrame:
     """group and nid of the HUBS members of each group nearest to its most common tokens. member: group, nid, size."""
-    own = member.join(sketches, "nid").select("group", "nid", "size", "sketch")
+    own = member.join(sketches.hint("merge"), "nid").select("group", "nid", "size", "sketch")
     voters = own.where(F.pmod(F.xxhash64("nid", F.lit(7)), F.ceil(F.col("size") / VOTERS)) == 0)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,9 +414,9 @@ def confirmed(candidates: DataFrame, classes: DataFrame, texts: DataFrame, width
 
     candidates: nid and group; classes: nid, n, sketch; texts: nid, text.
     """
-    member = candidates.join(classes.select("nid", "n"), "nid")
+    member = candidates.join(classes.select("nid", "n").hint("merge"), "nid")
     sizes = member.groupBy("group").agg(F.count("*").alias("size"), blocks_of(F.count("*"), F.sum("n")).alias("blocks"))
-    member = saved(member.join(sizes, "group"))
+    member = saved(member.join(sizes.hint("merge"), "group"))
     small = member.where("blocks = 1").select("nid", F.array(cell(F.lit(0), F.lit(0))).alias("cells"))
     large = member.where("blocks > 1")
     if large.isEmpty():
@@ -428,12 +431,12 @@ def confirmed(candidates: DataFrame, classes: DataFrame, texts: DataFrame, width
 
     # what isn't in the group's largest component by now meets all blocks
     root = connected_components(first).withColumnRenamed("node", "nid")
-    held = large.join(root, "nid", "left").select("nid", "group", "n", F.coalesce("root", "nid").alias("root"))
+    held = large.join(root.hint("merge"), "nid", "left").select("nid", "group", "n", F.coalesce("root", "nid").alias("root"))
     most = held.groupBy("group", "root").agg(F.count("*").alias("k"))
     most = most.groupBy("group").agg(F.max(F.struct("k", "root"))["root"].alias("main"))
-    held = saved(held.join(most, "group").withColumn("rest", F.col("root") != F.col("main")))
+    held = saved(held.join(most.hint("merge"), "group").withColumn("rest", F.col("root") != F.col("main")))
     split = held.groupBy("group").agg(blocks_of(F.count_if("rest"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0))).alias("br"), blocks_of(F.count_if(~F.col("rest")), F.sum(F.when(F.col("rest"), 0).otherwise(F.col("n")))).alias("bm"))
-    own = held.join(split.where("br > 0"), "group").withColumn("b", F.when(F.col("rest"), F.pmod(F.xxhash64("nid", F.lit(2)), "br")).otherwise(F.col("br") + F.pmod(F.xxhash64("nid", F.lit(2)), "bm")).cast("int"))
+    own = held.join(split.where("br > 0").hint("merge"), "group").withColumn("b", F.when(F.col("rest"), F.pmod(F.xxhash64("nid", F.lit(2)), "br")).otherwise(F.col("br") + F.pmod(F.xxhash64("nid", F.lit(2)), "bm")).cast("int"))
     to = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("br") + F.col("bm")).otherwise(F.col("br")).cast("int") - 1)
     pairs = F.transform(to, lambda x: cell(F.least(x, "b"), F.greatest(x, "b")))
     return first.unionByName(confirm(own.select("nid", pairs.alias("cells")), texts, width, percent, 100))
@@ -452,21 +455,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, trees: i
     classes = some.groupBy("s1", "s2").agg(F.min(row).alias("row"), F.first("n_shingles").alias("n"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
     classes = saved(classes.select("s1", "s2", "n", "path", "sketch", F.col("s1").alias("nid"), F.col("row.doc_id").alias("least"), "row.t1", "row.t2"))
     meet, links = branches(classes.select("nid", "path", "sketch"), trees, sketch_share(percent), leaf)
-    leaves = meet.join(classes.select("nid", "sketch"), "nid")
+    leaves = meet.join(classes.select("nid", "sketch").hint("merge"), "nid")
     candidates = connected_components(compare_leaves(leaves, sketch_share(percent)).unionByName(links))
     candidates = candidates.select(F.col("node").alias("nid"), F.col("root").alias("group"))
 
     # one text for each candidate: rows are found by the text's hash and the doc_id, and repeated ones go
-    wanted = candidates.join(classes, "nid").select("nid", "least", F.col("t1").alias("k1"), F.col("t2").alias("k2"))
+    wanted = candidates.join(classes.hint("merge"), "nid").select("nid", "least", F.col("t1").alias("k1"), F.col("t2").alias("k2"))
     ends = [F.coalesce(c, F.lit(-(1 << 63))) for c in (wanted["least"], docs["doc_id"])]
-    found = wanted.join(docs, (wanted["k1"] == docs["t1"]) & (wanted["k2"] == docs["t2"]) & (ends[0] <= ends[1]) & (ends[0] >= ends[1]))
+    found = wanted.hint("merge").join(docs, (wanted["k1"] == docs["t1"]) & (wanted["k2"] == docs["t2"]) & (ends[0] <= ends[1]) & (ends[0] >= ends[1]))
     texts = saved(found.select("t1", "t2", "nid", "text").dropDuplicates(["t1", "t2"]).select("nid", "text"))
 
     roots = connected_components(confirmed(candidates, classes.select("nid", "n", "sketch"), texts, width, percent))
-    joined = classes.select("nid", "s1", "s2", "least").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    joined = classes.select("nid", "s1", "s2", "least").join(roots.withColumnRenamed("node", "nid").hint("merge"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     lowest = joined.groupBy("root").agg(F.min("least").alias("lowest"))
-    component = joined.join(lowest, "root").select("s1", "s2", "lowest")
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(component, ["s1", "s2"], "left")
+    component = joined.join(lowest.hint("merge"), "root").select("s1", "s2", "lowest")
+    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(component.hint("merge"), ["s1", "s2"], "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
 
