@@ -439,12 +439,15 @@ def confirmed(candidates: DataFrame, classes: DataFrame, texts: DataFrame, width
     return first.unionByName(confirm(own.select("nid", pairs.alias("cells")), texts, width, percent, 100))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs.
+def text_key(salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), F.coalesce("text", F.lit("")))
+
+
+def components(docs: DataFrame, width: int = 5, percent: int = 85, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """doc_id, the text's keys t1 and t2, n_shingles, component_id and kept for every row of docs.
 
     Rows are linked if 100 * intersection >= percent * union of their shingle sets.
     """
-    text_key = lambda salt: F.xxhash64(F.lit(salt), F.coalesce("text", F.lit("")))
     docs = doc_text(docs).withColumns({"t1": text_key(1), "t2": text_key(2)})
     signed = saved(signatures(docs, width))
     some = signed.where("n_shingles > 0")
@@ -466,9 +469,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, trees: i
     joined = classes.select("nid", "s1", "s2", "least").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     lowest = joined.groupBy("root").agg(F.min("least").alias("lowest"))
     component = joined.join(lowest, "root").select("s1", "s2", "lowest")
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(component, ["s1", "s2"], "left")
+    out = signed.select("doc_id", "t1", "t2", "n_shingles", "s1", "s2").join(component, ["s1", "s2"], "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
+    return out.select("doc_id", "t1", "t2", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs; see components."""
+    return components(docs, width, percent, trees, leaf).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,3 +26,13 @@ def test_stages_of_odd_and_of_no_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             assert out.count() <= docs.count() + 200
+
+
+def test_near_copies_without_or_with_shared_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, words), (None, words), (None, other), (7, words + " end"), (7, "something else altogether here now")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, words), (None, other), (7, rows[4][1])], key=str)
