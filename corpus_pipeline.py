@@ -27,10 +27,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of a similarity of 0.8 or more;
-    rows that repeat go to one."""
-    docs = docs.select(COLUMNS)
-    kept = near_dedup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows that repeat go to one. Rows are told apart by doc_id and text: one that shares its doc_id, or
+    its lack of one, with a row that stays may still go."""
+    docs = docs.select(COLUMNS).withColumns({"t1": near_dedup.text_key(1), "t2": near_dedup.text_key(2)})
+    kept = near_dedup.components(docs, percent=80).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("t1").alias("k1"), F.col("t2").alias("k2")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (docs["t1"] == kept["k1"]) & (docs["t2"] == kept["k2"])
+    return docs.join(kept, same, "left_semi").select(COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
