@@ -5,7 +5,7 @@ for it. In each of several independent trees, nodes branch by the minwise token
 function of the branch's path picks from their sets: sets of similarity s take the same branch
 with probability s. What becomes of a tree node depends on its members:
 
-* A node of up to LEAF members (sixteen times as many with each level, up to LARGEST_LEAF) is compared
+* A node of up to LEAF members (four times as many with each level, up to LARGEST_LEAF) is compared
   exhaustively, by sketches.
 * In a larger one, every member meets the node's representative (of some random members, the one
   with which most of them agree). Those that agree with it become its candidates; the others meet WITNESSES of these. If those that agree
@@ -13,6 +13,9 @@ with probability s. What becomes of a tree node depends on its members:
   chunks, and the node ends: a hot node of near copies doesn't branch, and loses no pair.
 * Otherwise all its members branch on, by one function or, for every other node, by two.
 
+A node of up to IN_TASK members, whose sketches fit into a task, goes through all its further levels
+there; a level of larger ones is a Spark job. The rules are the same in both places.
+
 Candidates that hang together form groups, which are confirmed on full sets. A group of one block
 has all its pairs counted. In a larger one, each block is counted by itself, together with the
 group's hubs, the members nearest to its most common minwise tokens; this joins most of a group of
@@ -53,8 +56,10 @@ from skein.llm.vocab import Memo
 FUNCTIONS = 128
 TREES = 12
 #: Largest tree node that is compared exhaustively: at the first level, and at any. The limit grows
-#: by sixteen with each level, so that nodes which hardly thin out end after some levels too.
+#: by four with each level, so that nodes which hardly thin out end after some levels too.
 LEAF, LARGEST_LEAF = 64, 4096
+#: Members of a tree node up to which its levels are worked out in one task (4 MB of sketches).
+IN_TASK = 32_768
 #: Random members of a large tree node of which one becomes its representative, and members, besides
 #: it, that those unlike it meet.
 SAMPLES, WITNESSES = 6, 4
@@ -181,13 +186,21 @@ def tokens_of(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, FUNCTIONS)
 
 
+def agree(tokens: np.ndarray, other: np.ndarray, share: float) -> np.ndarray:
+    return np.count_nonzero(tokens == other, axis=1) >= share * FUNCTIONS
+
+
+def leaf_limit(depth: int, leaf: int) -> int:
+    return max(leaf, min(leaf << 2 * depth, LARGEST_LEAF))
+
+
 def judged_against(pairs: DataFrame, share: float) -> DataFrame:
     """Whether `sketch` and `other` agree, as `near` in place of `other`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, other = (tokens_of(batch.column(k).to_pylist()) for k in ("sketch", "other"))
-            near = pa.array((own == other).sum(axis=1) >= share * FUNCTIONS)
+            near = pa.array(agree(own, other, share))
             rest = [k for k in batch.schema.names if k != "other"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), near], names=[*rest, "near"])
 
@@ -195,6 +208,10 @@ def judged_against(pairs: DataFrame, share: float) -> DataFrame:
     return pairs.mapInArrow(run, types + ", near boolean")
 
 
+def central(few: np.ndarray, share: float) -> int:
+    return int(((few[:, None] == few[None]).sum(axis=2) >= share * FUNCTIONS).sum(axis=1).argmax())
+
+
 def most_central(some: DataFrame, share: float) -> DataFrame:
     """Of a few members of each node (an array of nid and sketch), the one with which most agree: node, chosen, other."""
     out = pa.schema([("node", pa.int64()), ("chosen", pa.int64()), ("other", pa.binary())])
@@ -203,8 +220,7 @@ def most_central(some: DataFrame, share: float) -> DataFrame:
         for batch in batches:
             chosen, other = [], []
             for few in batch.column("some").to_pylist():
-                t = tokens_of([x["sketch"] for x in few])
-                best = int(((t[:, None] == t[None]).sum(axis=2) >= share * FUNCTIONS).sum(axis=1).argmax())
+                best = central(tokens_of([x["sketch"] for x in few]), share)
                 chosen.append(few[best]["nid"])
                 other.append(few[best]["sketch"])
             yield batches_of({"node": batch.column("node"), "chosen": chosen, "other": other}, out)
@@ -212,22 +228,25 @@ def most_central(some: DataFrame, share: float) -> DataFrame:
     return some.mapInArrow(run, "node long, chosen long, other binary")
 
 
-def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
-    """(tree node, nid, far) rows in which whatever is far meets all of its node, and candidate links (a, b).
+def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF, in_task: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(tree node, nid, far, depth) rows in which whatever is far meets all of its node, and candidate links (a, b).
 
     nodes: nid, path, sketch. Each level counts the members of its tree nodes; those with one
     member have nothing to compare and end. Members of large nodes carry their sketches along.
+    Nodes of up to in_task members may be larger than leaves of their depth: they are still to branch.
+    Of nodes that have come to their end, the depth is -1.
     """
     first = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.element_at("path", t + 1)))
     level = nodes.select("nid", F.explode(first).alias("node"))
     sketches = nodes.select("nid", "sketch")
     meet, links = [], []
     for depth in count():
-        limit = max(leaf, min(leaf << 4 * depth, LARGEST_LEAF))
+        limit = leaf_limit(depth, leaf)
+        here = F.col("n") <= max(limit, in_task)
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = saved(level.join(sizes, "node"))
-        meet.append(sized.where(F.col("n") <= limit).select("node", "nid", F.lit(True).alias("far")))
-        large = sized.where(F.col("n") > limit)
+        meet.append(sized.where(here).select("node", "nid", F.lit(True).alias("far"), F.lit(depth).alias("depth")))
+        large = sized.where(~here)
         if large.isEmpty():
             break
         if "sketch" not in large.columns:
@@ -252,7 +271,7 @@ def branches(nodes: DataFrame, trees: int, share: float, leaf: int = LEAF) -> tu
         places = F.when(F.col("far"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("nid"), chunks)))
         ends = (F.col("m") <= limit) | ((F.col("m") <= CHUNK) & (2 * F.col("m") < F.col("n")))
         few = rest.where("m > 0").where(ends).select("node", "nid", "far", F.explode(places).alias("chunk"))
-        meet.append(few.select(F.xxhash64("node", F.lit(-1), "chunk").alias("node"), "nid", "far"))
+        meet.append(few.select(F.xxhash64("node", F.lit(-1), "chunk").alias("node"), "nid", "far", F.lit(-1).alias("depth")))
         two = F.when(F.pmod(F.xxhash64("node", F.lit(-2)), F.lit(2)) == 0, F.array(_child(0), _child(1))).otherwise(F.array(_child(0)))
         level = rest.where(~ends).select("nid", "sketch", F.explode(two).alias("node"))
     union = lambda frames: reduce(DataFrame.unionByName, frames)
@@ -291,24 +310,64 @@ def stars(names: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return names[away], names[top[away]]
 
 
-def compare_leaves(leaves: DataFrame, share: float) -> DataFrame:
-    """Candidate links (a, b) of sets in the same tree node, one of them far, whose sketches agree enough."""
+def branched(node: int, rows: np.ndarray, depth: int, nid: np.ndarray, tokens: np.ndarray, share: float, leaf: int, leaves: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Agreeing pairs of a tree node that branches within a task; its leaves, yet to be compared, are added to a list."""
+    todo = [(np.array([node], np.int64).view(np.uint64), rows, depth)]
+    while todo:
+        node, rows, depth = todo.pop()
+        if len(rows) <= (limit := leaf_limit(depth, leaf)):
+            leaves.append(rows)
+            continue
+        drawn = rows[np.argsort(mixed(nid[rows].view(np.uint64) ^ node))]  # in random order
+        chosen = drawn[central(tokens[drawn[:SAMPLES]], share)]
+        near = agree(tokens[drawn], tokens[chosen], share)
+        alike, far = drawn[near], drawn[~near]
+        yield alike, np.full(len(alike), chosen)
+        for w in alike[-WITNESSES:] if len(far) > limit else ():
+            near = agree(tokens[far], tokens[w], share)
+            yield far[near], np.full(np.count_nonzero(near), w)
+            far = far[~near]
+        if len(far) <= limit or len(far) <= CHUNK and 2 * len(far) < len(rows):
+            for x in far:
+                like = rows[agree(tokens[rows], tokens[x], share)]
+                yield like, np.full(len(like), x)
+            continue
+        for j in range(1 + int(mixed(node)[0] & np.uint64(1))):
+            path = mixed(node ^ np.uint64(2 * j + 3))
+            token = tokens[rows, int(path[0] % np.uint64(FUNCTIONS))]
+            order = np.argsort(token, kind="stable")
+            cut = np.flatnonzero(np.diff(token[order])) + 1
+            for part, value in zip(np.split(rows[order], cut), token[order][np.r_[0, cut]].astype(np.uint64)):
+                if len(part) > 1:
+                    todo.append((mixed(path + value), part, depth + 1))
+
+
+def compare_leaves(leaves: DataFrame, share: float, leaf: int = LEAF) -> DataFrame:
+    """Candidate links (a, b) of sets in the same tree node, one of them far, whose sketches agree enough.
+    Nodes too large for their depth branch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["node"]):
-            node, nid, far = (group.column(k).to_numpy() for k in ("node", "nid", "far"))
-            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
+            node, nid, far, depth = (group.column(k).to_numpy() for k in ("node", "nid", "far", "depth"))
+            tokens = tokens_of(group.column("sketch").to_pylist())
 
             def pairs():
-                k = 1
-                while True:  # row i against row i + k, as long as they share a tree node
-                    if k >= len(node) or not (together := node[:-k] == node[k:]).any():
-                        return
-                    i = np.flatnonzero(together & far[:-k])  # far ones stand first
-                    for part in np.array_split(i, len(i) // 20_000 + 1):
-                        close = (sketch[part] == sketch[part + k]).sum(axis=1) >= share * FUNCTIONS
-                        yield part[close], part[close] + k
+                ends: list[np.ndarray] = []
+                for rows in np.split(np.arange(len(node)), np.flatnonzero(np.diff(node)) + 1):
+                    if depth[rows[0]] < 0:
+                        ends.append(rows)
+                    else:
+                        yield from branched(node[rows[0]], rows, int(depth[rows[0]]), nid, tokens, share, leaf, ends)
+                at = np.concatenate(ends) if ends else np.zeros(0, np.intp)
+                end = np.repeat(np.arange(len(ends)), [len(x) for x in ends])
+                i, k = np.flatnonzero(far[at]), 0  # far ones stand first
+                while len(i):  # row i against row i + k, as long as they share an end
                     k += 1
+                    i = i[i + k < len(at)]
+                    i = i[end[i] == end[i + k]]
+                    for part in np.array_split(i, len(i) // 20_000 + 1):
+                        close = agree(tokens[at[part]], tokens[at[part + k]], share)
+                        yield at[part[close]], at[part[close] + k]
 
             a, b = stars(nid, pairs())
             yield batches_of({"a": a, "b": b}, LINK)
@@ -443,7 +502,7 @@ def text_key(salt: int) -> Column:
     return F.xxhash64(F.lit(salt), F.coalesce("text", F.lit("")))
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 85, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def components(docs: DataFrame, width: int = 5, percent: int = 85, trees: int = TREES, leaf: int = LEAF, in_task: int = IN_TASK) -> DataFrame:
     """doc_id, the text's keys t1 and t2, n_shingles, component_id and kept for every row of docs.
 
     Rows are linked if 100 * intersection >= percent * union of their shingle sets.
@@ -454,9 +513,9 @@ def components(docs: DataFrame, width: int = 5, percent: int = 85, trees: int =
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t1", "t2")
     classes = some.groupBy("s1", "s2").agg(F.min(row).alias("row"), F.first("n_shingles").alias("n"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
     classes = saved(classes.select("s1", "s2", "n", "path", "sketch", F.col("s1").alias("nid"), F.col("row.doc_id").alias("least"), "row.t1", "row.t2"))
-    meet, links = branches(classes.select("nid", "path", "sketch"), trees, sketch_share(percent), leaf)
+    meet, links = branches(classes.select("nid", "path", "sketch"), trees, sketch_share(percent), leaf, in_task)
     leaves = meet.join(classes.select("nid", "sketch"), "nid")
-    candidates = connected_components(compare_leaves(leaves, sketch_share(percent)).unionByName(links))
+    candidates = connected_components(compare_leaves(leaves, sketch_share(percent), leaf).unionByName(links))
     candidates = candidates.select(F.col("node").alias("nid"), F.col("root").alias("group"))
 
     # one text for each candidate: rows are found by the text's hash and the doc_id, and repeated ones go
@@ -474,9 +533,9 @@ def components(docs: DataFrame, width: int = 5, percent: int = 85, trees: int =
     return out.select("doc_id", "t1", "t2", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, trees: int = TREES, leaf: int = LEAF, in_task: int = IN_TASK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs; see components."""
-    return components(docs, width, percent, trees, leaf).select("doc_id", "n_shingles", "component_id", "kept")
+    return components(docs, width, percent, trees, leaf, in_task).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,8 +58,10 @@ def test_near_duplicates_at_another_threshold(spark):
         assert got[doc_id, n][0] == (least if n else doc_id)
 
 
-def test_large_tree_nodes_and_blocks(spark, monkeypatch):
-    """With small limits, the same result comes by deep trees, by chunks, hubs and pairs of blocks."""
+@pytest.mark.parametrize("in_task", [0, 40, near_dedup.IN_TASK])
+def test_large_tree_nodes_and_blocks(spark, monkeypatch, in_task):
+    """With small limits, the same result comes by deep trees, by chunks, hubs and pairs of blocks,
+    whether levels are Spark's jobs or a task's loops."""
     monkeypatch.setattr(near_dedup, "BLOCK_SETS", 16)
     monkeypatch.setattr(near_dedup, "CHUNK", 16)
     monkeypatch.setattr(near_dedup, "VOTERS", 12)
@@ -67,7 +69,7 @@ def test_large_tree_nodes_and_blocks(spark, monkeypatch):
     docs = odd_documents(spark, near_copies(60, 80, 3, 50) + near_copies(30, 80, 9, 51) + [common + " " + " ".join(words_of(900 + i, 25 + i % 9)) for i in range(30)])
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = near_groups(rows)
-    got = held(near_dedup.near_duplicates(docs, leaf=16))
+    got = held(near_dedup.near_duplicates(docs, leaf=16, in_task=in_task))
     for i, (doc_id, _) in enumerate(rows):
         n, least = want[i]
         assert got[doc_id, n][0] == (least if n else doc_id)
@@ -86,6 +88,30 @@ def test_trees_branch_on_the_table(spark):
         assert meet.join(roots, "node", "left_anti").count() > 0 or leaf > 8
 
 
+def test_tree_nodes_branch_in_tasks():
+    """Pairs that agree are joined by a node's links and leaves; unlike sets thin out."""
+    rng = np.random.default_rng(11)
+    n, leaf, share = 3000, 16, near_dedup.sketch_share(85)
+    tokens = rng.integers(0, 256, (n, near_dedup.FUNCTIONS), dtype=np.uint8)
+    tokens[:, :64] = tokens[0, :64]  # half of all tokens are common
+    for i in range(0, 1000, 2):
+        tokens[i + 1] = tokens[i]
+        tokens[i + 1, :8] = 0
+    tokens[1000:1400] = tokens[1000]  # a hot group of copies
+    nid, found = rng.integers(-(1 << 62), 1 << 62, n), set()
+    for tree in range(8):
+        leaves: list = []
+        for a, b in near_dedup.branched(tree, np.arange(n), 0, nid, tokens, share, leaf, leaves):
+            assert near_dedup.agree(tokens[a], tokens[b], share).all()
+            found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+        assert all(len(x) <= near_dedup.LARGEST_LEAF for x in leaves) and sum(map(len, leaves)) < 30 * n
+        assert any(len(x) < n // 10 for x in leaves)
+        for x in leaves:
+            inside = set(x.tolist())
+            found.update((i, i + 1) for i in inside if i < 1000 and i % 2 == 0 and i + 1 in inside)
+    assert {(i, i + 1) for i in range(0, 1000, 2)} <= found
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(empty_documents(spark)).count() == 0
 
