@@ -75,6 +75,12 @@ def unplaced(place):
     return (*divmod(rest, BASE), windows, low, high)
 
 
+def words_covered(place: Column, window: int) -> Column:
+    """First and end word of a place, as a struct."""
+    first = F.shiftright(place, 24)
+    return F.struct(first.alias("first"), (first + F.shiftright(place, 12).bitwiseAND(BASE - 1) + (window - 1)).alias("end"))
+
+
 def anchored(h: np.ndarray, doc: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, first word, distance to the anchor and number of windows of each stretch.
 
@@ -290,16 +296,20 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         shared = saved(rows.join(often, "key"))
         different = shared.groupBy("s1", "s2").agg(F.first("key").alias("key"), F.sum("n").alias("n"), F.min(F.struct("tid", "place")).alias("p"))
         different = saved(different.select("s1", "s2", "key", "n", "p.tid", "p.place"))
-        again = shared.where("n = 1").join(different.where("n > 1").select("s1", "s2"), ["s1", "s2"], "left_semi")
-        at = F.shiftright("place", 24)
-        found.append(again.select("tid", at.alias("first"), (at + F.shiftright("place", 12).bitwiseAND(BASE - 1) + (window - 1)).alias("end")))
+        # a text's stretches repeat but for those that stand alone, which are known by now
+        own = shared.where("n = 1").select("tid", "place", F.lit(False).alias("alone"))
+        alone = different.where("n = 1").select("tid", "place", F.lit(True).alias("alone"))
+        lists = [F.collect_list(F.when(test, F.col("place"))) for test in (~F.col("alone"), F.col("alone"))]
+        again = own.unionByName(alone).groupBy("tid").agg(F.array_except(*lists).alias("places")).where(F.size("places") > 0)
+        found.append(again.select("tid", F.transform("places", lambda x: words_covered(x, window)).alias("ranges")))
         sized = different.join(different.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
-        found.append(tree_repeats(words_of(sized.where(F.col("m") <= largest)), window))
+        trees = tree_repeats(words_of(sized.where(F.col("m") <= largest)), window)
+        found.append(trees.groupBy("tid").agg(F.collect_list(F.struct("first", "end")).alias("ranges")))
         large = sized.where(F.col("m") > largest)
         if large.isEmpty():
             break
         rows = saved(halves(words_of(large), window))
-    ranges = reduce(DataFrame.unionByName, found).groupBy("tid").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
+    ranges = reduce(DataFrame.unionByName, found).groupBy("tid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     return texts.select("tid", "t1", "t2", "copies").join(ranges, "tid", "left").where("copies > 1 or ranges is not null").drop("tid")
 
 
