@@ -15,6 +15,7 @@ work for each object.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -32,6 +33,12 @@ Inner = Callable[["Traversal"], "Traversal"]
 MOST_ROUNDS = 10_000
 #: Results of so many rounds are saved as one frame, which keeps plans small.
 PARTS = 50
+#: The ends that a hop in a direction leaves from and leads to.
+ENDS = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}
+#: Comparisons, and what they are with their sides changed.
+TURNED = {operator.lt: operator.gt, operator.gt: operator.lt, operator.le: operator.ge, operator.ge: operator.le, operator.eq: operator.eq, operator.ne: operator.ne}
+#: Types whose values compare as they do once Spark has widened them to a common one.
+NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
 class Anonymous:
@@ -56,6 +63,27 @@ class T:
     id, label = "~id", "~label"
 
 
+@dataclass(frozen=True)
+class Hop:
+    """The last hop of a stream of vertices, as long as nothing but marks came after it."""
+
+    before: Traversal
+    direction: str
+    labels: tuple[str, ...]
+    marks: tuple[str, ...] = ()  # set since
+
+
+@dataclass(frozen=True)
+class Compared:
+    """What where_marked compared: the stream that it filtered, and its arguments."""
+
+    stream: Traversal
+    a: str
+    compare: Callable[[Any, Any], Any]
+    b: str
+    by: str | None
+
+
 @dataclass(frozen=True)
 class Traversal:
     graph: PropertyGraph
@@ -70,6 +98,8 @@ class Traversal:
     by_path: tuple[Any, ...] | None = None  # what path() shows of each object in turn
     passed: int = 0  # objects on the way so far
     ordering: tuple[tuple[str, bool], ...] = ()  # travelling columns that order() made, and whether they fall
+    hop: Hop | None = None
+    compared: Compared | None = None
 
     # --- basics ---
 
@@ -92,6 +122,8 @@ class Traversal:
     def _on(self, df: DataFrame, kind: str | None = None, **other: Any) -> Traversal:
         if "ordering" not in other and not {c for c, _ in self.ordering} <= set(df.columns):
             other["ordering"] = ()
+        if df is not self.df:  # other rows than those of the hop or the comparison
+            other = {"hop": None, "compared": None} | other
         return replace(self, df=df, kind=kind or self.kind, **other)
 
     def _value(self, column: Column) -> Traversal:
@@ -225,27 +257,71 @@ class Traversal:
             here = self.as_("~here")
             return here.where_marked("~here", *inner.pair, by)._on_like(self)
         if isinstance(inner, str):
-            compare, other = (lambda a, b: a == b, test) if isinstance(test, str) else test.pair
+            compare, other = (operator.eq, test) if isinstance(test, str) else test.pair
             return self.where_marked(inner, compare, other, by)
         return self._matching(inner, "left_semi")
 
     def _on_like(self, before: Traversal) -> Traversal:
-        return replace(before, df=self.df.select(*before.df.columns))
+        return replace(before, df=self.df.select(*before.df.columns), hop=None, compared=self.compared)
 
     filter = where
 
     def where_marked(self, a: str, compare: Callable[[Column, Column], Column], b: str, by: str | None = None) -> Traversal:
         """Compares a property of two marked vertices (their ids without by)."""
-        own, sides = self, []
-        for i, name in enumerate((a, b)):
-            column = F.col(f"`_as_{name}`")
-            if by is not None:
-                labels = self.names[name].labels
-                side = self.graph.vertex_frame(labels).select(F.col("id").alias(f"~i{i}"), F.col(by).alias(f"~v{i}"))
-                own = own._on(own.df.join(side, own.df[f"_as_{name}"] == side[f"~i{i}"]))
-                column = F.col(f"~v{i}")
-            sides.append(column)
-        return self._on(own.df.where(compare(*sides)).select(*self.df.columns))
+        own = self.df
+        for name, column in ((a, "~a"), (b, "~b")):
+            own = self._with_mark(own, name, by, column)
+        kept = self._on(own.where(compare(F.col("~a"), F.col("~b"))).select(*self.df.columns))
+        return replace(kept, compared=Compared(self, a, compare, b, by))
+
+    def _with_mark(self, df: DataFrame, name: str, by: str | None, column: str) -> DataFrame:
+        """A frame with a property of a marked vertex (its id without by) as one more column."""
+        if by is None:
+            return df.withColumn(column, F.col(f"`_as_{name}`"))
+        side = self.graph.vertex_frame(self.names[name].labels).select(F.col("id").alias("~i"), F.col(by).alias(column))
+        return df.join(side, F.col(f"`_as_{name}`") == F.col("~i")).drop("~i")
+
+    def _counted(self) -> Traversal:
+        """For count(): as many traversers as are here, but after a comparison of marks at the two ends of
+        the last hop those before the hop, each with the number of its matches as multiplicity.
+
+        Pairs grow with the square of the edges that a vertex has. So they aren't made: the values at both
+        ends are sorted for each vertex in between, and running sums count the matches. The far side's
+        edges are read whole, and one task sorts those of a vertex. Other comparisons than by one
+        operator, and values of types that don't sort as they compare, keep to the pairs.
+        """
+        if self.compared is None or self.compared.stream.hop is None:
+            return self
+        stream, hop, by = self.compared.stream, self.compared.stream.hop, self.compared.by
+        near, far, how = self.compared.a, self.compared.b, _operator_of(self.compared.compare)
+        if near in hop.marks:
+            near, far, how = far, near, TURNED.get(how)
+        if how is None or far not in hop.marks or near in hop.marks or stream.names[near].kind != "vertex":
+            return self
+        keys = list(self.keys)
+        left = stream._with_mark(hop.before.df.withColumnsRenamed({"id": "~at"}), near, by, "~v").select(*keys, "~at", "~v", hop.before._n().alias("~n"), F.lit(0).alias("~side"))
+        edges = self.graph.edge_frame(hop.labels)
+        edges = union_all([edges.select(F.col(here).alias("~at"), F.col(there).alias(f"_as_{far}")) for here, there in ENDS[hop.direction]])
+        right = stream._with_mark(edges, far, by, "~v").select("~at", "~v", F.lit(1).alias("~side"))
+        types = {dict(x.dtypes)["~v"] for x in (left, right)}
+        if not types <= NUMBERS and (len(types) > 1 or next(iter(types)).startswith(("array", "struct", "map", "variant"))):
+            return self
+        rows = union_all([left, right]).where("`~at` is not null and `~v` is not null")
+
+        def far_ones(keys: list[str], *order: Column) -> Column:
+            """How many values of the far side come up to this row."""
+            upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            return F.sum(F.col("~side").cast("long")).over(upto)
+
+        first = F.col("~side").desc()  # the far side before the near one: equal values count
+        if how in (operator.eq, operator.ne):
+            n = far_ones(["~at", "~v"], first)
+            n = n if how is operator.eq else far_ones(["~at"], first) - n
+        else:
+            falls, equal = how in (operator.lt, operator.le), how in (operator.le, operator.ge)
+            n = far_ones(["~at"], _sorted(F.col("~v"), falls), first if equal else F.col("~side").asc())
+        rows = rows.withColumn("~m", n).where("`~side` = 0 and `~m` > 0")
+        return self._on(rows.select(*keys, (F.col("~n") * F.col("~m")).alias("_n")))
 
     def not_(self, inner: Inner) -> Traversal:
         return self._matching(inner, "left_anti")
@@ -369,9 +445,7 @@ class Traversal:
     def _hop(self, direction: str, labels: tuple[str, ...], to_edge: bool) -> Traversal:
         """Joins edges by one end. Vertices at the other end aren't read until a step needs them."""
         parts, ends = [], []
-        for here, there in (("src", "dst"), ("dst", "src")):
-            if direction not in ("both", {"src": "out", "dst": "in"}[here]):
-                continue
+        for here, there in ENDS[direction]:
             e = self.graph.edge_frame(labels)
             base = self.df.select(*(F.col(c) for c in self.travelling if c != "_from"), F.col("id").alias("~at"))
             joined = base.join(e, base["~at"] == e[here])
@@ -384,7 +458,7 @@ class Traversal:
         if to_edge:
             return out._tracked()
         known = None if None in ends else tuple(dict.fromkeys(x for own in ends for x in own))
-        return out._on(out.df, labels=known)._tracked()
+        return out._on(out.df, labels=known, hop=Hop(replace(self, hop=None, compared=None), direction, labels))._tracked()
 
     def out(self, *labels: str) -> Traversal:
         return self._hop("out", labels, False)
@@ -473,7 +547,8 @@ class Traversal:
 
     def as_(self, name: str) -> Traversal:
         c = F.col("id") if self.kind == "vertex" else F.struct(*self.object) if self.kind in ("edge", "map", "property") else F.col("value")
-        return self._on(self.df.withColumn(f"_as_{name}", c), names=self.names | {name: self._on(self.df.limit(0), loaded=self.kind != "vertex")})
+        hop = self.hop and replace(self.hop, marks=(*self.hop.marks, name))
+        return self._on(self.df.withColumn(f"_as_{name}", c), names=self.names | {name: self._on(self.df.limit(0), loaded=self.kind != "vertex")}, hop=hop)
 
     def select(self, *names: str, by: Any = None) -> Traversal:
         """The object marked so; of several, a map with a column for each, by a property."""
@@ -626,8 +701,9 @@ class Traversal:
         return self._on(out, kind, labels=None, loaded=True, by_path=None)
 
     def count(self) -> Traversal:
-        n = F.coalesce(F.sum("_n"), F.lit(0).cast("long")) if "_n" in self.df.columns else F.count("*")
-        return self._reduced(n.alias("value"), fill={"value": 0})
+        own = self._counted()
+        n = F.coalesce(F.sum("_n"), F.lit(0).cast("long")) if "_n" in own.df.columns else F.count("*")
+        return own._reduced(n.alias("value"), fill={"value": 0})
 
     def _present(self, out: Traversal) -> Traversal:
         return out._on(out.df.where("value is not null"))
@@ -873,6 +949,50 @@ def _pair_with(key: str) -> Callable[[Column], Column]:
     return lambda x: F.struct(F.lit(key).alias("key"), x.cast("string").alias("value"))
 
 
+@dataclass(frozen=True, eq=False)
+class _Side:
+    """Stands for one of two columns, and tells by what operator they are compared."""
+
+    first: bool
+
+    def _made(self, other: Any, how: Callable) -> _Made:
+        if not isinstance(other, _Side) or other.first == self.first:
+            raise TypeError("not a comparison of the two")
+        return _Made(how if self.first else TURNED[how])
+
+    def __lt__(self, other):
+        return self._made(other, operator.lt)
+
+    def __le__(self, other):
+        return self._made(other, operator.le)
+
+    def __gt__(self, other):
+        return self._made(other, operator.gt)
+
+    def __ge__(self, other):
+        return self._made(other, operator.ge)
+
+    def __eq__(self, other):
+        return self._made(other, operator.eq)
+
+    def __ne__(self, other):
+        return self._made(other, operator.ne)
+
+
+@dataclass(frozen=True)
+class _Made:
+    how: Callable
+
+
+def _operator_of(compare: Callable[[Any, Any], Any]) -> Callable | None:
+    """The one operator that a function compares two columns by; None if it does anything else."""
+    try:
+        made = compare(_Side(True), _Side(False))
+    except Exception:  # whatever a function of columns raises without columns
+        return None
+    return made.how if isinstance(made, _Made) else None
+
+
 def _sorted(c: Column, desc: bool) -> Column:
     return c.desc() if desc else c.asc()
 
