@@ -265,3 +265,30 @@ def test_counts_of_compared_marks_at_a_supernode(spark):
         assert pairs.where_marked("a", lambda x, y: x < y, "b", by="v").count().to_list() == [n * (n - 1) // 2]
     finally:
         stop.cancel()
+
+
+def stages(spark) -> dict[int, int]:
+    """The records that each stage has written into a shuffle."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {s.stageId(): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+
+def test_comparison_over_edges_shuffles_no_pairs(spark):
+    """100 of 1,000 lines of one part make 10 ** 5 pairs with all of them."""
+    from skein.graph import PropertyGraph
+
+    n = 1000
+    orders = spark.range(n).selectExpr("id", "id * 7 % 1000 as price")
+    lines = spark.range(n).selectExpr("id", "id as src", "-1L as dst", "id % 50 as quantity")
+    own = PropertyGraph(spark, {"order": orders, "part": spark.range(-1, 0).toDF("id")}, {"contains": lines}, {"contains": (("order",), ("part",))})
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = stages(spark)
+        pairs = own.V(labels=["order"]).as_("a").out_e("contains").has("quantity", P.gt(44)).in_v().in_("contains").as_("b")
+        assert pairs.where("a", P.lt("b"), by="price").count().to_list() == [sum(n - 1 - i * 7 % n for i in range(n) if i % 50 > 44)]
+        assert 0 < sum(n for i, n in stages(spark).items() if i not in before) < 10 * n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
